@@ -1,5 +1,8 @@
 """All named queries of the reference's own operators, and their SQL twins."""
 
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = None
+from gridloom.plans import metric_queries
+from gridloom.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = metric_queries.dti_pooled_by_fold
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
