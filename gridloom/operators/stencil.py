@@ -38,6 +38,11 @@ def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / total for x in w]
 
 
+def at_least(v: Column, low: float = 0.0) -> Column:
+    """max(low, v) that keeps null."""
+    return F.when(v.isNotNull(), F.greatest(v, F.lit(low)))
+
+
 def kernel_column(kernel: Kernel) -> Column:
     """A kernel as a literal array, to be exploded without a join."""
     return F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(float(w)).alias("w")) for a, b, w in kernel])
@@ -134,7 +139,7 @@ def hessian(df: DataFrame, value: str) -> DataFrame:
 def saddle(df: DataFrame, value: str, out: str) -> DataFrame:
     """sqrt of the positive part of minus the Hessian determinant."""
     det = F.col("__yy") * F.col("__xx") - F.col("__xy") * F.col("__xy")
-    return hessian(df, value).withColumn(out, F.sqrt(F.greatest(F.lit(0.0), -det))).drop("__yy", "__xx", "__xy")
+    return hessian(df, value).withColumn(out, F.sqrt(at_least(-det))).drop("__yy", "__xx", "__xy")
 
 
 def box_std(df: DataFrame, value: str, out: str, size: int, n: tuple[int, int]) -> DataFrame:
@@ -143,7 +148,7 @@ def box_std(df: DataFrame, value: str, out: str, size: int, n: tuple[int, int])
     w = [1.0 / size] * (r + 1)
     df = df.withColumn("__sq", F.col(value) * F.col(value))
     df = separable(separable(df, value, "__m", w, n), "__sq", "__m2", w, n)
-    return df.withColumn(out, F.sqrt(F.greatest(F.lit(0.0), F.col("__m2") - F.col("__m") * F.col("__m")))).drop("__sq", "__m", "__m2")
+    return df.withColumn(out, F.sqrt(at_least(F.col("__m2") - F.col("__m") * F.col("__m")))).drop("__sq", "__m", "__m2")
 
 
 def gathered(df: DataFrame, kernel: Kernel, value: str) -> DataFrame:

@@ -18,7 +18,7 @@ HEAD = f"WITH {GRID_SQL}, {KERNEL}, {FOLDS}"
 PARTS = """t AS (SELECT y, x, fold FROM f WHERE p = '1-URGENT'), pr AS (SELECT y, x, fold FROM f WHERE p = '2-HIGH' AND st = 'O'),
 tp AS (SELECT t.y, t.x, t.fold, coalesce(max(h.w), 0) AS c FROM t LEFT JOIN (SELECT pr.y + k.dy AS y, pr.x + k.dx AS x, pr.fold, w FROM pr, k) h ON t.y = h.y AND t.x = h.x {on_t} GROUP BY ALL),
 fx AS (SELECT pr.y, pr.x, pr.fold, 1 - coalesce(max(h.w), 0) AS c FROM pr LEFT JOIN (SELECT t.y + k.dy AS y, t.x + k.dx AS x, t.fold, w FROM t, k) h ON pr.y = h.y AND pr.x = h.x {on_p} GROUP BY ALL),
-u AS (SELECT y, x, fold, c AS tp, 0.0 AS fp, 1 - c AS fn FROM tp UNION ALL SELECT y, x, fold, 0, c, 0 FROM fx)"""
+u AS (SELECT y, x, fold, c AS tp, 0::DOUBLE AS fp, 1 - c AS fn FROM tp UNION ALL SELECT y, x, fold, 0, c, 0 FROM fx)"""
 BY_FOLD = PARTS.format(on_t="AND t.fold = h.fold", on_p="AND pr.fold = h.fold")
 WHOLE = PARTS.format(on_t="", on_p="")
 SUMS = "round(sum(tp), 6) AS tp, round(sum(fp), 6) AS fp, round(sum(fn), 6) AS fn, round(sum(tp) / (sum(tp) + 0.2 * sum(fp) + 0.8 * sum(fn) + 1e-7), 6) AS dti"
@@ -55,7 +55,7 @@ def h03_evaluation_arrays(spark, sf):
 SOFT = """q AS (SELECT y, x, fold, ((cell_id * 37) % 101) / 100.0 AS pv FROM f WHERE (cell_id * 37) % 101 > 60), t AS (SELECT y, x FROM f WHERE p = '1-URGENT'),
 tp AS (SELECT t.y, t.x, coalesce(max(h.c), 0) AS c FROM t LEFT JOIN (SELECT q.y + dy AS y, q.x + dx AS x, w * pv AS c FROM q, k) h USING (y, x) GROUP BY ALL),
 fx AS (SELECT q.y, q.x, pv * (1 - coalesce(max(h.w), 0)) AS c FROM q LEFT JOIN (SELECT t.y + dy AS y, t.x + dx AS x, w FROM t, k) h USING (y, x) GROUP BY q.y, q.x, pv),
-u AS (SELECT c AS tp, 0.0 AS fp, 1 - c AS fn FROM tp UNION ALL SELECT 0, c, 0 FROM fx)"""
+u AS (SELECT c AS tp, 0::DOUBLE AS fp, 1 - c AS fn FROM tp UNION ALL SELECT 0, c, 0 FROM fx)"""
 
 
 @query(f"{HEAD}, {SOFT} SELECT {SUMS} FROM u")
@@ -161,7 +161,7 @@ DRAWS = "thin AS (SELECT comp, d.d AS draw FROM (SELECT DISTINCT comp FROM comp)
 @query(f"""{RHEAD}, {COMPS}, {DRAWS}, t AS (SELECT y, x, draw FROM comp JOIN thin USING (comp)), pr AS (SELECT y, x, draw FROM fp, range(3) r(draw) WHERE p = '2-HIGH' AND st = 'O'),
 tp AS (SELECT t.y, t.x, t.draw, coalesce(max(h.w), 0) AS c FROM t LEFT JOIN (SELECT pr.y + k.dy AS y, pr.x + k.dx AS x, pr.draw, k.w FROM pr, k) h ON t.y = h.y AND t.x = h.x AND t.draw = h.draw GROUP BY ALL),
 fx AS (SELECT pr.y, pr.x, pr.draw, 1 - coalesce(max(h.w), 0) AS c FROM pr LEFT JOIN (SELECT t.y + k.dy AS y, t.x + k.dx AS x, t.draw, k.w FROM t, k) h ON pr.y = h.y AND pr.x = h.x AND pr.draw = h.draw GROUP BY ALL),
-u AS (SELECT draw, c AS tp, 0.0 AS fp, 1 - c AS fn FROM tp UNION ALL SELECT draw, 0, c, 0 FROM fx) SELECT draw, {SUMS} FROM u GROUP BY draw""")
+u AS (SELECT draw, c AS tp, 0::DOUBLE AS fp, 1 - c AS fn FROM tp UNION ALL SELECT draw, 0, c, 0 FROM fx) SELECT draw, {SUMS} FROM u GROUP BY draw""")
 def h18_sparse_scores(spark, sf):
     """Scores against truth thinned by whole components, in three draws."""
     fp = footprint(spark, sf)
@@ -295,7 +295,7 @@ def i20_rotated_sectors_renumbered(spark, sf):
 @query(f"""{HEAD}, dr AS (SELECT * FROM range(3) d(draw)), t AS (SELECT y, x, fold, draw FROM f, dr WHERE p = '1-URGENT' AND (cell_id + draw) % 3 = 0), pr AS (SELECT y, x, fold, draw FROM f, dr WHERE p = '2-HIGH' AND st = 'O'),
 tp AS (SELECT t.y, t.x, t.fold, t.draw, coalesce(max(h.w), 0) AS c FROM t LEFT JOIN (SELECT pr.y + k.dy AS y, pr.x + k.dx AS x, pr.fold, pr.draw, k.w FROM pr, k) h ON t.y = h.y AND t.x = h.x AND t.fold = h.fold AND t.draw = h.draw GROUP BY ALL),
 fx AS (SELECT pr.y, pr.x, pr.fold, pr.draw, 1 - coalesce(max(h.w), 0) AS c FROM pr LEFT JOIN (SELECT t.y + k.dy AS y, t.x + k.dx AS x, t.fold, t.draw, k.w FROM t, k) h ON pr.y = h.y AND pr.x = h.x AND pr.fold = h.fold AND pr.draw = h.draw GROUP BY ALL),
-u AS (SELECT draw, fold, c AS tp, 0.0 AS fp, 1 - c AS fn FROM tp UNION ALL SELECT draw, fold, 0, c, 0 FROM fx) SELECT draw, fold, {SUMS} FROM u GROUP BY draw, fold""")
+u AS (SELECT draw, fold, c AS tp, 0::DOUBLE AS fp, 1 - c AS fn FROM tp UNION ALL SELECT draw, fold, 0, c, 0 FROM fx) SELECT draw, fold, {SUMS} FROM u GROUP BY draw, fold""")
 def i23_draw_by_fold_scores(spark, sf):
     f = _folded(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     return metric.scored(metric.owned(prediction(f), truth(f).where("(cell_id + draw) % 3 = 0"), ("draw", "fold")), ("draw", "fold"))
