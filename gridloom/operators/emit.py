@@ -84,6 +84,10 @@ def cover(df: DataFrame, weight: str, key: str, *, k: int, radius: int = 3, spac
         rival = scatter(live, reach).groupBy("y", "x").agg(F.max(rank).alias("best"))
         fresh = written(live.join(rival, ["y", "x"], "left").where(F.col("best").isNull() | (rank > F.col("best"))).drop("best"))
         taken = fresh if taken is None else taken.unionByName(fresh)
+        left = live.select("y", "x", "id").join(fresh.select("y", "x"), ["y", "x"], "left_anti")
+        best = live.join(fresh.select("y", "x"), ["y", "x"], "left_anti").agg(F.max("gain")).first()[0]
+        if best is None or taken.where(F.col("gain") > best).count() >= k:
+            break
         given = scatter(fresh.select("y", "x"), kern).groupBy("y", "x").agg(F.max("w").alias("g"))
         done = written(done.join(given, ["y", "x"], "left").select("y", "x", F.greatest("c", F.coalesce("g", F.lit(0.0))).alias("c")))
         gone = fresh.select("y", "x")

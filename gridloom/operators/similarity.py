@@ -33,8 +33,8 @@ def midrank(value: str, by: tuple[str, ...] = ()) -> Column:
 
 def pearson(a: str, b: str) -> Column:
     """Correlation as an aggregate; null if either side is constant."""
-    flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    return F.when(~flat, F.corr(a, b))
+    # corr itself divides by zero where a side is constant
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:

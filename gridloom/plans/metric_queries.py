@@ -71,10 +71,10 @@ def h05_dti_score_fast(spark, sf):
     return metric.scored(metric.owned(prediction(fp), truth(fp)))
 
 
-@query(f"{HEAD}, {WHOLE.replace('t AS (SELECT y, x, fold FROM f WHERE p', 't AS (SELECT y, x, fold FROM f WHERE cell_id % 7 <> 0 AND p').replace('pr AS (SELECT y, x, fold FROM f WHERE p', 'pr AS (SELECT y, x, fold FROM f WHERE cell_id % 7 <> 0 AND p')} SELECT {SUMS} FROM u")
+@query(f"{HEAD}, {WHOLE.replace('t AS (SELECT y, x, fold FROM f WHERE p', 't AS (SELECT y, x, fold FROM f WHERE st <> chr(80) AND p').replace('pr AS (SELECT y, x, fold FROM f WHERE p', 'pr AS (SELECT y, x, fold FROM f WHERE st <> chr(80) AND p')} SELECT {SUMS} FROM u")
 def h06_dti_score_masked(spark, sf):
     fp = footprint(spark, sf)
-    known = fp.where("cell_id % 7 = 0").select("cell_id")
+    known = fp.where("st = 'P'").select("cell_id")
     active = fp.join(known, "cell_id", "left_anti")
     return metric.scored(metric.owned(prediction(active), truth(active)))
 

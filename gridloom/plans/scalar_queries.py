@@ -189,11 +189,11 @@ def k51_extrapolate_variant(spark, sf):
     return spark.range(1, 100).select(F.col("id").alias("i"), F.round(sc.model_dti(tp, 3 * F.col("id") / 100.0, 2.5), 6).alias("dti"))
 
 
-@query("""WITH p AS (SELECT event_id, (value - 5) / 2000 AS p FROM events WHERE event_id < 200 AND value >= 5), s AS (SELECT event_id, p, (count(*) OVER () - row_number() OVER (ORDER BY p, event_id) + 1) * p AS s FROM p)
-SELECT event_id, round(least(1, max(s) OVER (ORDER BY p, event_id ROWS UNBOUNDED PRECEDING)), 6) AS adjusted FROM s""")
+@query("""WITH p AS (SELECT event_id, value / 2000000 AS p FROM events), s AS (SELECT event_id, p, (count(*) OVER () - row_number() OVER (ORDER BY p, event_id) + 1) * p AS s FROM p)
+SELECT event_id, round(least(1, max(s) OVER (ORDER BY p, event_id ROWS UNBOUNDED PRECEDING)), 4) AS adjusted FROM s""")
 def k03_holm_adjust(spark, sf):
-    p = table(spark, sf, "events").where("event_id < 200 AND value >= 5").select("event_id", ((F.col("value") - 5) / 2000).alias("p"))
-    return sc.holm_adjusted(p, "p", "event_id", "a").select("event_id", F.round("a", 6).alias("adjusted"))
+    p = table(spark, sf, "events").select("event_id", (F.col("value") / 2000000).alias("p"))
+    return sc.holm_adjusted(p, "p", "event_id", "a").select("event_id", F.round("a", 4).alias("adjusted"))
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, count(*) AS n FROM events GROUP BY 1")
@@ -239,12 +239,12 @@ def k35_clipped_gate(spark, sf):
     return _r(_gates(spark, sf).withColumn("s", sc.clip(4 * F.col("a") * F.col("b"), 0.05, 1.0)), "s")
 
 
-@query(f"WITH {GRID_SQL}, s AS (SELECT median(qty) AS m, quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25) AS i FROM g WHERE cell_id % 2 = 0) SELECT cell_id, round(greatest(-8, least(8, (coalesce(qty, m) - m) / i)), 6) AS z FROM g, s WHERE cell_id % 2 = 1")
+@query(f"WITH {GRID_SQL}, s AS (SELECT median(qty) AS m, quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25) AS i FROM g WHERE p <> '1-URGENT') SELECT cell_id, round(greatest(-8, least(8, (coalesce(qty, m) - m) / i)), 6) AS z FROM g, s")
 def k11_standardise_with_fitted(spark, sf):
-    """Impute and scale by statistics of the training half."""
+    """Impute and scale by statistics of the training rows."""
     g = cells(spark, sf, items=True)
-    s = g.where("cell_id % 2 = 0").agg(F.percentile("qty", [0.25, 0.5, 0.75]).alias("q"))
-    g = g.where("cell_id % 2 = 1").join(F.broadcast(s))
+    s = g.where("p <> '1-URGENT'").agg(F.percentile("qty", [0.25, 0.5, 0.75]).alias("q"))
+    g = g.join(F.broadcast(s))
     z = (F.coalesce("qty", F.col("q")[1]) - F.col("q")[1]) / (F.col("q")[2] - F.col("q")[0])
     return _r(g.withColumn("z", sc.clip(z, -8.0, 8.0)), "z")
 

@@ -180,10 +180,10 @@ def _dog(narrow: float, wide: float, weight: float) -> st.Kernel:
 DOG = ", ".join(f"({y}, {x}, {w!r}::DOUBLE)" for y, x, w in _dog(1.0, 2.0, 0.65))
 
 
-@query(f"WITH {GRID_SQL}, i AS (SELECT y, x FROM fp WHERE p = '1-URGENT' AND cell_id % 9 = 0) SELECT i.y + k.dy AS y, i.x + k.dx AS x, round(greatest(0, sum(k.wt)), 6) AS value FROM i, (VALUES {DOG}) k(dy, dx, wt) GROUP BY 1, 2")
+@query(f"WITH {GRID_SQL}, i AS (SELECT y, x FROM fp WHERE p = '1-URGENT' AND st = 'F') SELECT i.y + k.dy AS y, i.x + k.dx AS x, round(greatest(0, sum(k.wt)), 6) AS value FROM i, (VALUES {DOG}) k(dy, dx, wt) GROUP BY 1, 2")
 def c15_difference_of_gaussians(spark, sf):
     """Sparse impulses scatter both Gaussians at once; the sum is clipped at zero."""
-    i = truth(footprint(spark, sf)).where("cell_id % 9 = 0").select("y", "x")
+    i = truth(footprint(spark, sf)).where("st = 'F'").select("y", "x")
     return st.scatter(i, _dog(1.0, 2.0, 0.65)).groupBy("y", "x").agg(F.round(F.greatest(F.lit(0.0), F.sum("w")), 6).alias("value"))
 
 
