@@ -69,10 +69,12 @@ def random_strings(spark: SparkSession, n: int = 3000) -> DataFrame:
 
 
 def identifiers(docs: DataFrame, n_docs: int = 2000) -> DataFrame:
-    """Labelled ordinary identifiers: words of the n_docs documents with the least id hash, alone
+    """Labelled ordinary identifiers: words of documents with the n_docs least text hashes, alone
     and joined as identifiers join them. The bound on documents is the sample's only bound."""
-    text = F.coalesce("text", F.lit(""))
-    some = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).orderBy("h").limit(n_docs)
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # only hashes are ranked; the chosen ones, n_docs at most, then find their texts
+    least = rows.select("h").distinct().orderBy("h").limit(n_docs)
+    some = rows.join(F.broadcast(least), "h", "left_semi")
     w = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,}+"), F.lit(0))).alias("w")).groupBy("w").count()
     w = w.select("w", F.pmod(F.xxhash64("w"), F.lit(1 << 20)).alias("h"))
     tail = F.substring(F.reverse("w"), 1, 8)
