@@ -73,17 +73,13 @@ def apart(df: DataFrame, dots: DataFrame, radius: float) -> DataFrame:
     return df.join(scatter(dots.select("y", "x"), disc(radius)).select("y", "x"), ["y", "x"], "left_anti")
 
 
-def components(mask: DataFrame, width: int) -> DataFrame:
-    """(y, x, comp): eight-connected components, named by their least cell id.
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root) of a graph's linked nodes, links (u, v): root is the least node of the component.
 
     Alternating large-star and small-star rounds take a number of rounds that grows with the
     logarithm of a component's length; each is written before the next reads it.
     """
-    cell = F.col("y") * width + F.col("x")
-    here = mask.select("y", "x").distinct().withColumn("u", cell)
-    half = [(0, 1, 1.0), (1, -1, 1.0), (1, 0, 1.0), (1, 1, 1.0)]
-    near_ = scatter(here.withColumnRenamed("u", "v"), half)
-    e = written(near_.join(here, ["y", "x"]).select("u", "v"))
+    e = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -93,9 +89,16 @@ def components(mask: DataFrame, width: int) -> DataFrame:
         after = written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
         mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark(after) == mark(e):
-            break
+            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         e = after
-    return here.join(after.select("u", F.col("v").alias("__r")), "u", "left").select("y", "x", F.coalesce("__r", "u").alias("comp"))
+
+
+def components(mask: DataFrame, width: int) -> DataFrame:
+    """(y, x, comp): eight-connected components, named by their least cell id."""
+    here = mask.select("y", "x").distinct().withColumn("u", F.col("y") * width + F.col("x"))
+    half = [(0, 1, 1.0), (1, -1, 1.0), (1, 0, 1.0), (1, 1, 1.0)]
+    found = connected(scatter(here.withColumnRenamed("u", "v"), half).join(here, ["y", "x"]).select("u", "v"))
+    return here.join(found, F.col("u") == F.col("node"), "left").select("y", "x", F.coalesce("root", "u").alias("comp"))
 
 
 def d8(df: DataFrame, value: str, width: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.scalar import hashed
-from gridloom.operators.distance import written
+from gridloom.operators.distance import components, connected, written
 from gridloom.operators.stencil import scatter, triangular
 
 
@@ -96,3 +96,43 @@ def cover(df: DataFrame, weight: str, key: str, *, k: int, radius: int = 3, spac
         left = written(live.select("y", "x", "id").join(gone, ["y", "x"], "left_anti"))
     out = taken if taken is not None else left.withColumn("gain", F.lit(0.0))
     return out.orderBy(F.desc("gain"), "id").limit(k)
+
+
+def geodesic_thin(mask: DataFrame, width: int, spacing: float) -> DataFrame:
+    """Dots of a mask, breadth first from each component's first cell in raster order, none nearer than spacing.
+
+    Components nearer than spacing block one another, so clusters of them are scanned together,
+    each in one task; clusters are independent.
+    """
+    reach = _within(spacing)
+    parts = written(components(mask, width))
+    near = scatter(parts, reach).join(parts.select("y", "x", F.col("comp").alias("other")), ["y", "x"])
+    clusters = connected(near.select(F.col("other").alias("u"), F.col("comp").alias("v")).distinct())
+
+    def scan(pdf):
+        from collections import deque
+
+        import pandas as pd
+
+        cells = sorted(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))
+        inside, queued, kept = set(cells), set(), set()
+        ring = [(a, b) for a, b, _ in reach]
+        for start in cells:
+            if start in queued:
+                continue
+            queued.add(start)
+            todo = deque([start])
+            while todo:
+                y, x = todo.popleft()
+                if not any((y + a, x + b) in kept for a, b in ring):
+                    kept.add((y, x))
+                for a in (-1, 0, 1):
+                    for b in (-1, 0, 1):
+                        q = (y + a, x + b)
+                        if q in inside and q not in queued:
+                            queued.add(q)
+                            todo.append(q)
+        return pd.DataFrame(sorted(kept), columns=["y", "x"])
+
+    rows = parts.join(clusters, F.col("comp") == F.col("node"), "left").select("y", "x", F.coalesce("root", "comp").alias("root"))
+    return rows.groupBy("root").applyInPandas(scan, "y long, x long")

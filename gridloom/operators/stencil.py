@@ -197,3 +197,60 @@ def neighbour_counts(df: DataFrame) -> DataFrame:
     ring = [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     near = scatter(df.select("y", "x"), ring).groupBy("y", "x").agg(F.count("*").alias("neighbours"))
     return df.select("y", "x").join(near, ["y", "x"], "left").select("y", "x", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+
+
+def ridges(df: DataFrame, value: str, sigma: float, n: tuple[int, int]) -> DataFrame:
+    """Cells of a dense band that are ridge crests: concave down across the strike and no lower than both
+    neighbours across it, in four direction bins; positive values only, with all neighbours valid."""
+    df = hessian(smoothed(df, value, "__s", sigma, n), "__s")
+    half, dev = (F.col("__yy") + F.col("__xx")) / 2, (F.col("__yy") - F.col("__xx")) / 2
+    low = half - F.sqrt(dev * dev + F.col("__xy") * F.col("__xy"))  # the more negative curvature
+    # its direction, from x towards y, in bins of 45 degrees
+    angle = F.degrees(F.atan2(low - F.col("__xx"), F.col("__xy")))
+    df = df.withColumn("__low", low).withColumn("__bin", F.pmod(F.rint(F.round(angle, 6) / 45), F.lit(4.0)).cast("int"))
+    near = {}
+    rows = {k: tap(value, "y", k) for k in (-1, 1)}
+    df = df.withColumns({f"__r{k + 1}": c for k, c in rows.items()})
+    for dy, name in ((-1, "__r0"), (0, value), (1, "__r2")):
+        for dx in (-1, 0, 1):
+            if dy or dx:
+                near[dy, dx] = tap(name, "x", dx)
+    df = df.withColumns({f"__n{i}": near[k] for i, k in enumerate(sorted(near))})
+    at = {k: F.col(f"__n{i}") for i, k in enumerate(sorted(near))}
+    pairs = {0: ((0, 1), (0, -1)), 1: ((1, 1), (-1, -1)), 2: ((1, 0), (-1, 0)), 3: ((1, -1), (-1, 1))}
+    v = F.col(value)
+    top = F.lit(False)
+    for b, (p, q) in pairs.items():
+        top = top | ((F.col("__bin") == b) & (v >= at[p]) & (v >= at[q]))
+    whole = F.lit(True)
+    for c in at.values():
+        whole = whole & c.isNotNull()
+    return df.where(whole & (v > 0) & (F.col("__low") < 0) & top).select("y", "x", value)
+
+
+def whole_grid(df: DataFrame, value: str, out: str, fn, n: tuple[int, int]) -> DataFrame:
+    """(y, x, out): a function of the whole dense array, for operators that are not local.
+
+    One task holds the grid; use it only where no local form exists.
+    """
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        a = np.zeros(n)
+        a[pdf["y"], pdf["x"]] = pdf[value].fillna(0.0)
+        b = fn(a)
+        return pd.DataFrame({"y": pdf["y"], "x": pdf["x"], out: b[pdf["y"], pdf["x"]]})
+
+    return df.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(value).cast("double").alias(value)).groupBy(F.lit(0)).applyInPandas(run, f"y long, x long, {out} double")
+
+
+def vertical_derivative(a, pad_cells: int = 16):
+    """|k| in the Fourier domain, on a mirrored border."""
+    import numpy as np
+
+    b = np.pad(a, pad_cells, mode="symmetric")
+    ky, kx = np.fft.fftfreq(b.shape[0])[:, None], np.fft.rfftfreq(b.shape[1])[None, :]
+    f = np.fft.irfft2(np.fft.rfft2(b) * 2 * np.pi * np.hypot(ky, kx), s=b.shape)
+    return f[pad_cells : pad_cells + a.shape[0], pad_cells : pad_cells + a.shape[1]]
