@@ -243,7 +243,8 @@ def whole_grid(df: DataFrame, value: str, out: str, fn, n: tuple[int, int]) -> D
         b = fn(a)
         return pd.DataFrame({"y": pdf["y"], "x": pdf["x"], out: b[pdf["y"], pdf["x"]]})
 
-    return df.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(value).cast("double").alias(value)).groupBy(F.lit(0)).applyInPandas(run, f"y long, x long, {out} double")
+    cells = df.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(value).cast("double").alias(value), F.lit(0).alias("__all"))
+    return cells.groupBy("__all").applyInPandas(run, f"y long, x long, {out} double")
 
 
 def vertical_derivative(a, pad_cells: int = 16):
