@@ -190,10 +190,10 @@ def e26_scaled_difference(spark, sf):
     return s.select("cell_id", F.round(F.col("s") - (F.col("cell_id") * 37 % 256) / 255.0, 6).alias("value"))
 
 
-@query(f"WITH {GRID_SQL}, z AS (SELECT cell_id, disc, greatest(-8, least(8, (qty - m) / i)) AS z FROM g, (SELECT median(qty) AS m, greatest(quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25), 1e-6) AS i FROM g) WHERE qty IS NOT NULL) SELECT cell_id, round(z * disc, 6) AS interaction, round(ln(1 + abs(z)), 6) AS damped FROM z")
+@query(f"WITH {GRID_SQL}, z AS (SELECT cell_id, disc, greatest(-8, least(8, (qty - m) / i)) AS z FROM g, (SELECT median(qty) AS m, greatest(quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25), 1e-6) AS i FROM g) WHERE qty IS NOT NULL) SELECT cell_id, round(z * ln(1 + disc), 6) AS interaction, round(ln(1 + abs(z)), 6) AS damped FROM z")
 def e30_interaction_channels(spark, sf):
     z = robust_z(cells(spark, sf, items=True), "qty", "z").where("qty IS NOT NULL")
-    return z.select("cell_id", F.round(F.col("z") * F.col("disc"), 6).alias("interaction"), F.round(F.log1p(F.abs("z")), 6).alias("damped"))
+    return z.select("cell_id", F.round(F.col("z") * F.log1p("disc"), 6).alias("interaction"), F.round(F.log1p(F.abs("z")), 6).alias("damped"))
 
 
 @query(f"WITH {GRID_SQL}, a AS (SELECT cell_id, v, percent_rank() OVER (ORDER BY v) AS r FROM fp WHERE p = '1-URGENT'), b AS (SELECT quantile_cont(v, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM fp WHERE p = '5-LOW') SELECT cell_id, round(least(v, q[CAST(least(floor(r * 4), 3) AS INTEGER) + 1] + (r * 4 - least(floor(r * 4), 3)) * (q[CAST(least(floor(r * 4), 3) AS INTEGER) + 2] - q[CAST(least(floor(r * 4), 3) AS INTEGER) + 1])), 4) AS value FROM a, b")
