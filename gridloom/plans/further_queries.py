@@ -367,3 +367,26 @@ def c18_front(spark, sf):
 def f30_three_part_surface(spark, sf):
     s = 0.48 * F.col("v") / 500000 + 0.28 * F.coalesce("disc", F.lit(0.0)) + 0.24 * expit(F.coalesce("qty", F.lit(100.0)) / 100)
     return footprint(spark, sf, items=True).select("cell_id", F.round(s, 6).alias("value"))
+
+
+@query(f"WITH {DENSE} SELECT y, x, coalesce(v, 0) AS value FROM dn")
+def i10_vector_to_grid(spark, sf):
+    """Rows by cell id back on the dense grid."""
+    w = spec(spark, sf).width
+    rows = cells(spark, sf).select("cell_id", "v")
+    full = spark.range(w * w).select(F.col("id").alias("cell_id"), F.floor(F.col("id") / w).alias("y"), (F.col("id") % w).alias("x"))
+    return full.join(rows, "cell_id", "left").select("y", "x", F.coalesce("v", F.lit(0.0)).alias("value"))
+
+
+@query(f"WITH {GRID_SQL} SELECT st, round(median(disc), 6) AS mid, round(quantile_cont(disc, 0.75) - quantile_cont(disc, 0.25), 6) AS iqr FROM g WHERE disc IS NOT NULL GROUP BY st")
+def k31_gate_scaler_by_regime(spark, sf):
+    q = cells(spark, sf, items=True).where("disc IS NOT NULL").groupBy("st").agg(F.percentile("disc", [0.25, 0.5, 0.75]).alias("q"))
+    return q.select("st", F.round(F.col("q")[1], 6).alias("mid"), F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"))
+
+
+@query(f"WITH {GRID_SQL}, a AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM g) SELECT cell_id, round(greatest(0, least(1, (v - lo) / (hi - lo))), 6) AS value FROM (SELECT fp.* FROM fp ANTI JOIN (SELECT DISTINCT y + i AS y, x + j AS x FROM fp, range(-3, 4) r(i), range(-3, 4) q(j) WHERE p = '2-HIGH' AND st = 'O' AND i*i + j*j <= 9) d USING (y, x)), a")
+def f27_interior_favourability(spark, sf):
+    """A normalised layer where no reference dot is near."""
+    s = quantile01(cells(spark, sf), "v", "s", 0.02, 0.98)
+    free = apart(footprint(spark, sf), prediction(footprint(spark, sf)), 3).select("cell_id")
+    return s.join(free, "cell_id", "left_semi").select("cell_id", F.round("s", 6).alias("value"))
