@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gridloom.llm._shared import materialise
 
@@ -62,6 +63,17 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def line_hash(parts: list[bytes]) -> int:
+    """Hash of a normalised line, given its words."""
+    return xxhash.xxh64_intdigest(_DIGITS.sub(b"0", b" ".join(parts).lower())) - (1 << 63)
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """`text` without the lines whose hash is in `gone`; blank lines stay."""
+    kept = [line for line in text.split("\n") if not ((parts := line.encode().split()) and line_hash(parts) in gone)]
+    return "\n".join(kept)
+
+
 def text_stats(text: str) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, [(line hash, words)])."""
     raw = text.encode()
@@ -77,8 +89,7 @@ def text_stats(text: str) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        norm = _DIGITS.sub(b"0", b" ".join(parts).lower())
-        lines.append((xxhash.xxh64_intdigest(norm) - (1 << 63), len(parts)))
+        lines.append((line_hash(parts), len(parts)))
     return len(words), chars, symbols, dup, repeated_words(words), lines
 
 
@@ -95,8 +106,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, hosts, keys, *cols, lines], names)
 
 
-def judge(docs: DataFrame, *, host: str = "source", most_documents: int = MOST_DOCUMENTS, most_lost: float = MOST_LOST) -> DataFrame:
-    """One row per row of docs: the counts, base_failed, lost_words (in removed lines) and kept."""
+def _judge(docs: DataFrame, *, host: str = "source", most_documents: int = MOST_DOCUMENTS, most_lost: float = MOST_LOST) -> tuple[DataFrame, DataFrame]:
+    """(rows of `judge`, removed lines: host, text_hash, h and more)."""
     stats = _STATS.format(id=docs.schema["doc_id"].dataType.simpleString())
     rows = materialise(docs.select("doc_id", F.col(host).cast("string").alias("host"), "text", text_key(F.col("text")).alias("text_hash")).mapInArrow(_scan, stats), "quality")
     at = rows.select("doc_id", "host", "text_hash", F.explode("lines").alias("l")).select("doc_id", "host", "text_hash", "l.h", "l.n")
@@ -112,7 +123,12 @@ def judge(docs: DataFrame, *, host: str = "source", most_documents: int = MOST_D
     out = out.withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
     bad = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", bad)
-    return out.withColumn("kept", ~bad & (F.col("lost_words") <= most_lost * F.col("n_words")))
+    return out.withColumn("kept", ~bad & (F.col("lost_words") <= most_lost * F.col("n_words"))), hit
+
+
+def judge(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: the counts, base_failed, lost_words (in removed lines) and kept."""
+    return _judge(docs, **options)[0]
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -120,12 +136,28 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return judge(docs, **options).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
+@F.arrow_udf(StringType())
+def _cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines of `gone`; null, so that the text stays, where there are none."""
+    return pa.array([None if g is None else without_lines(t or "", set(g)) for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
+
+
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rejected documents; columns and the rest of the rows are untouched."""
-    bad = judge(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("host").alias("__s")).distinct()
+    """docs without the rejected documents, and the rest without the lines that too many documents
+    share (the first document keeps them); n_chars follows, other columns and rows are untouched."""
+    judged, hit = _judge(docs, **options)
+    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("host").alias("__s")).distinct()
+    gone = hit.groupBy("host", "text_hash").agg(F.collect_set("h").alias("__gone")).select(F.col("host").alias("__s"), F.col("text_hash").alias("__t"), "__gone")
     keyed = docs.withColumn("__key", text_key(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(bad["__d"]) & (keyed["__key"] == bad["__t"]) & keyed[options.get("host", "source")].cast("string").eqNullSafe(bad["__s"])
-    return keyed.join(bad, same, "left_anti").drop("__key")
+    host = keyed[options.get("host", "source")].cast("string")
+    same = keyed["doc_id"].eqNullSafe(bad["__d"]) & (keyed["__key"] == bad["__t"]) & host.eqNullSafe(bad["__s"])
+    left = keyed.join(bad, same, "left_anti")
+    here = left.join(gone, (left["__key"] == gone["__t"]) & left[options.get("host", "source")].cast("string").eqNullSafe(gone["__s"]), "left").drop("__t", "__s", "__key")
+    # only texts that lose a line go to Python
+    fresh = here.withColumn("__new", _cut(F.when(F.col("__gone").isNotNull(), F.col("text")), "__gone"))
+    if "n_chars" in docs.columns:
+        fresh = fresh.withColumn("n_chars", F.when(F.col("__new").isNotNull(), F.length("__new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return fresh.withColumn("text", F.coalesce("__new", "text")).select(docs.columns)
 
 
 ORACLE = r"""

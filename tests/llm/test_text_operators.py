@@ -133,6 +133,23 @@ def test_quality_shared_lines(spark):
     assert got[100][0]["kept"] and all(got[200 + i][0]["kept"] for i in range(50))
 
 
+def test_quality_removes_shared_lines(spark):
+    """After the stage a shared line is in its first document only, and n_chars is that of the new text."""
+    import corpus_pipeline
+
+    shared = "Boiler plate 7 of one host"
+    own = lambda i: f"these are the many words that only document {'abcdefghij'[i % 10] * (i + 1)} has and keeps for its own"
+    rows = [(i, f"{own(i)}\n\n{shared.replace('7', str(i))}\nlast words", "en", "h", -1) for i in range(30)] + [(100, f"{own(0)}\n{shared}", "en", "other", -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["quality"]
+    got = {r["doc_id"]: r for r in stage(spark, df, SF).collect()}
+    assert set(got) == {*range(30), 100}
+    assert [i for i in got if "Boiler" in got[i]["text"]] == [0, 100]
+    assert (got[0]["text"], got[0]["n_chars"]) == (rows[0][1], -1)
+    # "last words" is shared by all of them too
+    assert all(got[i]["text"] == f"{own(i)}\n" and got[i]["n_chars"] == len(got[i]["text"]) for i in range(1, 30))
+
+
 def test_mixing(docs, rows):
     got = mixing.report(docs).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
