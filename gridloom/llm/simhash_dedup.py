@@ -246,7 +246,11 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component: its least doc_id; of rows that share that id, one."""
-    found = classes(docs.where(F.col("doc_id").isNotNull()), **options)
+    return first_of_each(docs, classes(docs.where(F.col("doc_id").isNotNull()), **options))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each component of `found` (doc_id, component_id), and those without an id."""
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").groupBy("doc_id").count()
     once = first.where("count = 1").select(F.col("doc_id").alias("__d"))
     more = first.where("count > 1").select(F.col("doc_id").alias("__d"))

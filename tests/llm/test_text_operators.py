@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import ctw_score, langid, license_scan, line_quality, mixing, packing, pii, secret_scan, simhash_dedup, topk_search
+from gridloom.llm import ctw_score, langid, license_scan, line_quality, mixing, near_copies, packing, pii, secret_scan, simhash_dedup, topk_search
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, v double, bin string, word string, n int"
@@ -406,6 +406,55 @@ def test_keep_first(docs, rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def jaccard_components(rows):
+    """{doc_id: least doc_id of its component} for (doc_id, text), every pair compared."""
+    shingled = {}
+    for d, t in rows:
+        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in brute.WORD.findall(t or "")]
+        shingled[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    root = {d: d for d in shingled}
+    ids = sorted(shingled)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(shingled[a] & shingled[b])
+            if both >= 0.8 * (len(shingled[a]) + len(shingled[b]) - both):
+                x, y = sorted((root[a], root[b]))
+                root = {d: x if r == y else r for d, r in root.items()}
+    return root
+
+
+def test_near_dedup_stage(spark, docs, rows, none):
+    """The stage leaves one document of each component at five-word similarity 0.8, also of copies far apart in bits."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(4_000)]
+    extra = []
+    for i in range(8):
+        base = list(rng.choice(words, 200))
+        extra.append((30_000 + 10 * i, " ".join(base)))
+        for k in range(1, 4):  # one, two or three words changed: similarity from 0.95 to 0.86
+            new = list(base)
+            for at in rng.choice(np.arange(10, 190, 20), k, replace=False):
+                new[at] = "changed"
+            extra.append((30_000 + 10 * i + k, " ".join(new)))
+        far = list(base)
+        far[5:200:20] = ["other"] * 10
+        extra.append((30_000 + 10 * i + 9, " ".join(far)))
+    more = spark.createDataFrame([(d, t, "en", "src0", len(t), 1.0, "b", "w", 3) for d, t in extra], SCHEMA)
+    every = docs.unionByName(more)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, every, SF)
+    assert kept.columns == docs.columns
+    want = jaccard_components([(d, t) for d, t, *_ in rows] + extra)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert {30_000 + 10 * i for i in range(8)} | {30_009 + 10 * i for i in range(8)} == {d for d in want.values() if d >= 30_000}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.classes(every).collect()}
+    assert got == want
+    fps = [brute.fingerprint(t) for _, t in extra]
+    assert len(set(brute.components([d for d, _ in extra], fps))) > 16  # four bits would leave copies
+    assert near_copies.keep_first(none).collect() == []
+
+
 def test_empty_tables(spark, none):
     for df in (pii.report(none), license_scan.report(none), secret_scan.report(none, n_random=50), line_quality.report(none), mixing.report(none), langid.report(none), packing.report(none), ctw_score.report(none), simhash_dedup.report(none)):
         assert df.collect() == []
