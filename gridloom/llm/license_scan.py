@@ -8,7 +8,7 @@ words that are matched.
 A text may hold a license more than once, and then its words are not unique in the whole
 text. So alignment runs over stretches of the text: places where the template's rarest word
 (in this text) occurs, each with the template's length on either side. Stretches that
-overlap become one. A template can reach the threshold only if enough of its words are in
+overlap become one; where that holds several copies, the template is laid on each place. A template can reach the threshold only if enough of its words are in
 the text at all, which is tested first; this test is exact.
 
 Defined results for odd rows: null and empty texts have no license; repeated rows get the
@@ -168,16 +168,83 @@ class Scanner:
                     stretches[-1][1] = hi
                 else:
                     stretches.append([lo, hi])
-            last = -1
-            for lo, hi in stretches:
-                lo = max(lo, last)
-                match = align([w for w, _, _ in found[lo:hi]], words)
-                if len(match) >= self.threshold * n:
-                    first, end = lo + match[0][0], lo + match[-1][0]
-                    out.append((name, round(len(match) / n, 6), found[first][1], found[end][2]))
-                    last = end + 1
+            low_words = [w for w, _, _ in found]
+            got = [(n, i, i + n - 1) for i in self._exact(low_words, words, at)]
+            walls = [(first, end + 1) for _, first, end in got] + [(len(found), len(found))]
+            last, k = 0, 0
+            for lo, hi in stretches:  # what lies between exact copies
+                while lo < hi:
+                    while walls[k][1] <= max(lo, last) and k < len(walls) - 1:
+                        last = max(last, walls[k][1])
+                        k += 1
+                    a, b = max(lo, last), min(hi, walls[k][0])
+                    for one in self._matches(low_words, words, at, a, b, spare):
+                        got.append(one)
+                        last = max(last, one[2] + 1)
+                    lo = hi if walls[k][0] >= hi else walls[k][1]
+            out += [(name, round(m / n, 6), found[first][1], found[end][2]) for m, first, end in got]
         return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 
+    @staticmethod
+    def _exact(text: list[str], words: list[str], at: list[int]) -> list[int]:
+        """Where the template stands word for word, without overlap. at: places of some of its words."""
+        out: list[int] = []
+        offsets: dict[str, list[int]] = {}
+        for p, w in enumerate(words):
+            offsets.setdefault(w, []).append(p)
+        for i in sorted({i - p for i in at for p in offsets[text[i]] if i >= p}):
+            if (not out or i >= out[-1] + len(words)) and text[i] == words[0] and text[i : i + len(words)] == words:
+                out.append(i)
+        return out
+
+    def _matches(self, text: list[str], words: list[str], at: list[int], lo: int, hi: int, spare: int) -> list[tuple[int, int, int]]:
+        """(matched words, first, last place) of every match in text[lo:hi]: the whole stretch at once
+        and then what lies on either side; where that gives none, or one wider than a template,
+        the template laid on each rare word's place, so that repeated copies are found one by one."""
+        n, need = len(words), self.threshold * len(words)
+        out: list[tuple[int, int, int]] = []
+        todo = [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo < need:
+                continue
+            match = align(text[lo:hi], words)
+            whole = (len(match), lo + match[0][0], lo + match[-1][0]) if len(match) >= need else None
+            if not whole or whole[2] - whole[1] >= n + 2 * spare:
+                ones = self._laid(text, words, at, lo, hi, spare)
+            else:
+                ones = [whole]
+            ones = ones or ([whole] if whole else [])
+            if not ones:
+                continue
+            out += ones
+            edges = [lo, *(x for _, first, end in ones for x in (first, end + 1)), hi]
+            todo += list(zip(edges[::2], edges[1::2], strict=True))
+        return sorted(out, key=lambda x: x[1])
+
+    def _laid(self, text: list[str], words: list[str], at: list[int], lo: int, hi: int, spare: int) -> list[tuple[int, int, int]]:
+        """Matches of the template laid on the places `at`, from left to right, without overlap."""
+        n, need, out = len(words), self.threshold * len(words), []
+        where: dict[str, list[int]] = {}
+        for p, w in enumerate(words):
+            where.setdefault(w, []).append(p)
+        for i in at[bisect_left(at, lo) : bisect_left(at, hi)]:
+            if i < lo:
+                continue
+            best = None
+            for slack in (0, spare):
+                for p in where[text[i]]:
+                    a, b = max(lo, i - p - slack), min(hi, i - p + n + slack)
+                    match = align(text[a:b], words)
+                    if len(match) >= need and (best is None or len(match) > best[0]):
+                        best = (len(match), a + match[0][0], a + match[-1][0])
+                if best:
+                    break
+            if best:
+                out.append(best)
+                lo = best[2] + 1
+        return out
+
     def _plain(self, low: str) -> bool:
         """Whether any template could be covered, where none of the usual words is there."""
         have = {w for w in self.wanted if w in low}

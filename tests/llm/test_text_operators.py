@@ -261,6 +261,18 @@ def test_licenses(docs, rows, spark):
                     assert key in r["licenses"]
 
 
+@pytest.mark.parametrize("key", ["mit-notice", "apache-2.0-notice", "cc-by-nc-4.0-notice", "isc"])
+@pytest.mark.parametrize("copies", [1, 2, 3, 4, 5, 6, 9])
+def test_licenses_back_to_back(key, copies):
+    """Copies of a notice in a row are found one by one, each with its own span."""
+    notice = license_scan.TEMPLATES[key]
+    text = "some words before it all " + " ".join([notice] * copies) + " and some words after it"
+    got = [x for x in license_scan.Scanner({key: notice}, license_scan.THRESHOLD)(text) if x[0] == key]
+    words = license_scan.words_of(notice)
+    starts = [len("some words before it all ") + i * (len(notice) + 1) for i in range(copies)]
+    assert [(c, s, e) for _, c, s, e in got] == [(1.0, s, s + words[-1][2]) for s in starts]
+
+
 def test_alignment_is_increasing():
     rng = np.random.default_rng(3)
     for _ in range(50):
