@@ -16,20 +16,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. Where none is set, one of our own, but only in a
+    local session, whose executors are the driver: a cluster must name its folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *, compression: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: its lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **({"compression": compression} if compression else {}))
     return spark.read.schema(df.schema).parquet(path)
 
 

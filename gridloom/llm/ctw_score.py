@@ -1,22 +1,24 @@
-"""Language-model scoring by context-tree weighting over bytes.
+"""Language-model scoring by context-tree weighting over the bytes of whole texts.
 
-A text is its tokens, lower-cased, each word closed by a space and the whole by an end mark.
+A text is its tokens, lower-cased, each word closed by one space, and the whole by an end mark.
 A byte is eight binary decisions; the decisions so far name one of 255 nodes, and each
-node has a context tree over the `DEPTH` bytes before. With KT estimates at all tree nodes,
+node has a context tree over the `DEPTH` bytes before, whatever words they belong to; before a
+text's first byte stand end marks. With KT estimates at all tree nodes,
 
     Pw(s) = 1/2 Pe(s) + 1/2 prod Pw(children of s)      at inner nodes,  Pw = Pe at depth DEPTH
 
 every depth is mixed. Scoring uses the posterior weights of the trained tree: from the
 deepest context that training saw up to the root, a node gives its own KT estimate the weight
-Pe / 2 Pw and passes the rest down. The contexts of a word's bytes reach back to the space before
-the word, so a word's code length is the same wherever it stands; the sum over a text needs
-each distinct word but once, in training and in scoring.
+Pe / 2 Pw and passes the rest down.
 
-Plan: one pass tokenises and splits off a dictionary for every block of documents (some tens of
-MB of text). Dictionaries are summed to the vocabulary; the vocabulary's byte contexts, counted,
-are the trained tree, whose subtrees below two context bytes are worked out apart; their sums
-make the top (at most 256 x 256 nodes). Log probabilities go back to words by byte contexts, and
-to blocks by words. No table that grows with the corpus is broadcast or collected.
+Plan: one pass writes blocks of documents (some tens of MB): their texts, compressed, and a request
+for each of `parts` hash parts, with the block's distinct words and its distinct grams (a byte
+and the bytes before it), each with its count in training. Requests meet by part: counts of a
+word come from all blocks, and go back; counts of a gram go to the trained tree, whose subtrees
+below two context bytes are worked out apart and whose top has at most 256 x 256 nodes. The
+gram's log probability goes back to the blocks by part, where whole texts are summed position by
+position. Every distinct gram of a block is a request once; no table that grows with the corpus is
+broadcast or collected.
 
 Defined results for odd rows: a null or wordless text is its end mark; repeated rows are scored
 and learnt separately; with nothing to learn from, the base score counts each token as
@@ -25,6 +27,7 @@ and learnt separately; with nothing to learn from, the base score counts each to
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,100 +39,208 @@ from pyspark.sql import functions as F
 from gridloom.llm._shared import crc_part, materialise
 
 DEPTH = 5
-#: Bytes of text to a block's dictionary, words to a part of the vocabulary.
-BLOCK_BYTES, PART_WORDS = 48 << 20, 60_000
+#: Bytes of text to a block and to a piece of one, and positions that are worked on at once.
+BLOCK_BYTES, PIECE_BYTES, WINDOW = 48 << 20, 1 << 20, 1 << 20
+#: Bytes of text for each hash part of the requests.
+PART_BYTES = 16 << 20
 END_MARK = b"\x00"
-_SPACE = 0x20
+WORDS, GRAMS = 0, 1
 
 
-# ---- tokenising, blocks and their dictionaries
+# ---- texts, grams and requests
 
-def _pack_counts(ids: np.ndarray, counts: np.ndarray, zip_: zstandard.ZstdCompressor) -> bytes:
-    """Sorted word numbers as differences, then counts, compressed."""
-    d = np.diff(ids, prepend=0).astype("<u4")
-    return zip_.compress(np.concatenate([d, counts.astype("<u4")]).tobytes())
+def normalised(text: str | None) -> tuple[bytes, int]:
+    """(the bytes that are scored, tokens): words closed by spaces, then the end mark."""
+    words = (text or "").encode().lower().split()
+    return b"".join((b" ".join(words), b" " if words else b"", END_MARK)), len(words) + 1
 
 
-def _unpack_counts(data: bytes, unzip: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(unzip.decompress(data), dtype="<u4")
-    h = len(a) // 2
-    return np.cumsum(a[:h], dtype=np.int64), a[h:].astype(np.int64)
+def grams_of(texts: list[bytes], window: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text of each byte, its gram), some positions at a time. A gram: bytes before, nearest highest, then the byte itself."""
+    window = window or WINDOW
+    pad = END_MARK * DEPTH
+    a = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(lens + DEPTH) - lens  # first byte of each text
+    real = np.ones(len(a), bool)
+    for k in range(1, DEPTH + 1):
+        real[begin - k] = False
+    for lo in range(0, len(a), window):
+        at = lo + np.flatnonzero(real[lo : lo + window])
+        if not len(at):
+            continue
+        g = a[at].astype(np.int64)
+        for k in range(1, DEPTH + 1):
+            g |= a[at - k].astype(np.int64) << np.int64(8 * (DEPTH - k + 1))
+        yield np.searchsorted(begin, at, side="right") - 1, g
+
+
+def gram_part(g: np.ndarray, parts: int) -> np.ndarray:
+    h = g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their summed counts."""
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, inv = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(inv, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its places in their order)."""
+    order = np.argsort(part, kind="stable")
+    edge = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for i, j in zip(edge, [*edge[1:], len(order)], strict=True):
+        yield int(part[order[i]]), order[i:j]
+
+
+class _Packer:
+    """Arrays and word lists as compressed bytes, and back."""
+
+    def __init__(self):
+        self.zip, self.unzip = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+    def numbers(self, x: np.ndarray) -> bytes:
+        return self.zip.compress(np.ascontiguousarray(x).tobytes())
+
+    def to_numbers(self, data: bytes, kind: str = "<i8") -> np.ndarray:
+        return np.frombuffer(self.unzip.decompress(data), kind)
+
+    def words(self, x: list[bytes]) -> bytes:
+        return self.zip.compress(b" ".join(x))
+
+    def to_words(self, data: bytes) -> list[bytes]:
+        return self.unzip.decompress(data).split(b" ")
+
+    def texts(self, x: list[bytes]) -> bytes:
+        lens = np.array([len(x), *map(len, x)], "<i8").tobytes()
+        return self.zip.compress(lens + b"".join(x))
+
+    def to_texts(self, data: bytes) -> list[bytes]:
+        raw = self.unzip.decompress(data)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        ends = np.cumsum(np.frombuffer(raw, "<i8", n + 1)[1:]) + 8 * (n + 1)
+        return [raw[e - m : e] for e, m in zip(ends.tolist(), np.frombuffer(raw, "<i8", n + 1)[1:].tolist(), strict=True)]
+
+
+class _Contents:
+    """The distinct words and grams of some texts, with their counts in those that train."""
 
+    def __init__(self):
+        self.counts: dict[bytes, int] = {}
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
-_ROWS = "block long, doc_id {id}, held_out boolean, n_tokens long, bag binary, wid int, word binary, n long"
+    def add(self, texts: list[bytes], trains: list[bool]) -> None:
+        counts = self.counts
+        for t, train in zip(texts, trains, strict=True):
+            words = t[:-1].split()
+            words.append(b"")  # the end mark
+            if train:
+                for w in words:
+                    counts[w] = counts.get(w, 0) + 1
+            else:
+                for w in words:
+                    counts.setdefault(w, 0)
+        for some, train in (([t for t, x in zip(texts, trains, strict=True) if x], 1), ([t for t, x in zip(texts, trains, strict=True) if not x], 0)):
+            for _, g in grams_of(some) if some else ():
+                u, n = np.unique(g, return_counts=True)
+                self.held.append((u, n * train))
+        if sum(len(k) for k, _ in self.held) > 4_000_000:
+            self.held = [_merged(self.held)]
 
+    def words(self, parts: int) -> Iterator[tuple[int, list[bytes]]]:
+        """(part, its words) in the order of parts and words: that of every request and reply."""
+        words = sorted(self.counts)
+        part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+        for p, at in _by_part(part):
+            yield p, [words[i] for i in at]
+
+    def grams(self, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        keys, n = _merged(self.held)
+        self.held = [(keys, n)]
+        for p, at in _by_part(gram_part(keys, parts)):
+            yield p, keys[at], n[at]
+
+
+_TEXTS = "block long, kind int, part long, items long, keys binary, counts binary, ids array<{id}>, held array<boolean>"
+
+
+def _blocks(id_type: pa.DataType, parts: int, block_bytes: int, piece_bytes: int):
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("items", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_()))])
 
-def _blocks(id_type: pa.DataType, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names = ["block", "doc_id", "held_out", "n_tokens", "bag", "wid", "word", "n"]
-        zip_ = zstandard.ZstdCompressor(level=3)
-        part = TaskContext.get().partitionId()
-        serial, size = 0, 0
-        number: dict[bytes, int] = {}
-        counts = np.zeros(1 << 16, np.int64)
-
-        def dictionary() -> Iterator[pa.RecordBatch]:
-            words = list(number)
-            for i in range(0, len(words), 100_000):
-                some = words[i : i + 100_000]
-                m = len(some)
-                none = [pa.nulls(m, t) for t in (id_type, pa.bool_(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part << 24 | serial, np.int64)), *none, pa.array(np.arange(i, i + m, dtype=np.int32)), pa.array(some, pa.binary()), pa.array(counts[i : i + m])], names)
-
+        pack, task = _Packer(), TaskContext.get().partitionId()
+        serial, size, inside = 0, 0, _Contents()
+        texts: list[bytes] = []
+        ids: list = []
+        held: list[bool] = []
+
+        def rows(kind: int, data: list[tuple]) -> pa.RecordBatch:
+            n = len(data)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task << 24 | serial)), pa.array([kind] * n, pa.int32()), *(pa.array([d[i] for d in data], schema.types[i + 2]) for i in range(6))], schema=schema)
+
+        def piece() -> Iterator[pa.RecordBatch]:
+            if texts:
+                inside.add(texts, [not h for h in held])
+                yield rows(-1, [(None, len(texts), pack.texts(texts), None, list(ids), list(held))])
+                texts.clear(), ids.clear(), held.clear()
+
+        def requests() -> Iterator[pa.RecordBatch]:
+            nonlocal inside
+            if inside.counts:
+                yield rows(WORDS, [(p, len(w), pack.words(w), pack.numbers(np.array([inside.counts[x] for x in w], "<i8")), None, None) for p, w in inside.words(parts)])
+                yield rows(GRAMS, [(p, len(g), pack.numbers(np.diff(g, prepend=0)), pack.numbers(n), None, None) for p, g, n in inside.grams(parts)])
+            inside = _Contents()
+
+        waiting = 0
         for batch in batches:
-            ids, held = batch.column(0), batch.column(1).to_pylist()
-            tokens, bags, at, flushed = [], [], [], 0
-
-            def rows(to: int) -> pa.RecordBatch:
-                m = to - flushed
-                none = [pa.nulls(m, t) for t in (pa.int32(), pa.binary(), pa.int64())]
-                return pa.RecordBatch.from_arrays([pa.array(np.full(m, part << 24 | serial, np.int64)), ids.slice(flushed, m), pa.array(held[flushed:to], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(bags, pa.binary()), *none], names)
-
-            for i, text in enumerate(batch.column(2)):
-                raw = (text.as_py() or "").encode()
-                words = raw.lower().split()
-                words.append(b"")  # the end mark
-                put = number.setdefault
-                nums = np.fromiter((put(w, len(number)) for w in words), np.int64, len(words))
-                u, c = np.unique(nums, return_counts=True)
-                if len(number) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(max(len(counts), len(number) - len(counts)), np.int64)])
-                if not held[i]:
-                    counts[u] += c
-                tokens.append(len(words))
-                bags.append(_pack_counts(u, c, zip_))
-                size += len(raw)
-                if size >= block_bytes:
-                    yield rows(i + 1)
-                    yield from dictionary()
-                    tokens, bags, flushed = [], [], i + 1
-                    serial, size = serial + 1, 0
-                    number.clear()
-                    counts[:] = 0
-            if tokens:
-                yield rows(batch.num_rows)
-        if number:
-            yield from dictionary()
+            for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                t, _ = normalised(text.as_py())
+                texts.append(t), ids.append(i), held.append(h)
+                waiting += len(t)
+                if waiting >= piece_bytes:
+                    yield from piece()
+                    size, waiting = size + waiting, 0
+                    if size >= block_bytes:
+                        yield from requests()
+                        serial, size = serial + 1, 0
+        yield from piece()
+        yield from requests()
 
     return run
 
 
+# ---- counts of words
+
+def _word_counts(table: pa.Table) -> pa.Table:
+    """Replies to one part's requests: each word's count over all blocks. stat: words that training holds."""
+    pack = _Packer()
+    total: dict[bytes, int] = {}
+    asked = [pack.to_words(x.as_py()) for x in table.column("keys")]
+    for words, n in zip(asked, table.column("counts"), strict=True):
+        for w, m in zip(words, pack.to_numbers(n.as_py()).tolist(), strict=True):
+            total[w] = total.get(w, 0) + m
+    known = sum(n > 0 for n in total.values())
+    data = [pack.numbers(np.array([total[w] for w in words], "<i8")) for words in asked]
+    rows = len(data)
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "data": pa.array(data, pa.binary()), "known": pa.array([known] + [0] * (rows - 1), pa.int64()), "total": pa.array([sum(total.values())] + [0] * (rows - 1), pa.int64())})
+
+
 # ---- the tree
 
-def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word of each byte, packed contexts): bytes before, nearest highest, then the byte itself."""
-    pad = bytes([_SPACE]) * DEPTH
-    parts = [pad + (w + b" " if w else END_MARK) for w in words]
-    lens = np.fromiter(map(len, parts), np.int64, len(parts)) - DEPTH
-    a = np.frombuffer(b"".join(parts), np.uint8)
-    which = np.repeat(np.arange(len(words)), lens)
-    at = np.arange(len(which)) + DEPTH * (which + 1)
-    g = a[at].astype(np.int64)
-    for k in range(1, DEPTH + 1):
-        g |= a[at - k].astype(np.int64) << np.int64(8 * (DEPTH - k + 1))
-    return which, g
+def _gram_counts(table: pa.Table) -> pa.Table:
+    pack = _Packer()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, n in zip(table.column("keys"), table.column("counts"), strict=True):
+        held.append((np.cumsum(pack.to_numbers(k.as_py())), pack.to_numbers(n.as_py())))
+        if sum(len(x) for x, _ in held) > 8_000_000:
+            held = [_merged(held)]
+    g, n = _merged(held)
+    return pa.table({"g": pa.array(g), "n": pa.array(n)})
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -247,8 +358,8 @@ def _table(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> dict[str, np.ndar
     return {"a": a, "b": b, "pw": pw, "w": np.exp(np.minimum(pe - pw + np.log(0.5), 0.0))}
 
 
-def tree(grams: DataFrame) -> DataFrame:
-    """(g, lp): log2 probability of every context-and-byte of `grams` (g, n)."""
+def tree(grams: DataFrame, parts: int = 1) -> DataFrame:
+    """(g, lp, part): log2 probability of every context-and-byte of `grams` (g, n)."""
     pair = F.shiftright("g", 8 * (DEPTH - 1))
     dealt = grams.withColumn("pair", pair).repartition("pair").sortWithinPartitions("g").select("g", "n")
     sums = dealt.mapInArrow(_sums, "k long, a long, b long, pw double")
@@ -258,84 +369,90 @@ def tree(grams: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, n in _runs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(log2_probabilities(g, n, upper.value))], ["g", "lp"])
-
-    return dealt.mapInArrow(run, "g long, lp double")
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(log2_probabilities(g, n, upper.value)), pa.array(gram_part(g, parts))], ["g", "lp", "part"])
 
-
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        which, g = word_grams(batch.column(0).to_pylist())
-        n = np.asarray(batch.column(1))[which]
-        u, inv = np.unique(g, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(inv, n, len(u)).astype(np.int64))], ["g", "n"])
+    return dealt.mapInArrow(run, "g long, lp double, part long")
 
 
-def _part_grams(key: tuple, table: pa.Table) -> pa.Table:
-    g = np.unique(word_grams(table.column("word").to_pylist())[1])
-    return pa.table({"part": pa.array(np.full(len(g), key[0].as_py(), np.int64)), "g": pa.array(g)})
-
-
-def _word_scores(left: pa.Table, right: pa.Table) -> pa.Table:
-    words = left.column("word").to_pylist()
-    which, g = word_grams(words)
+def _gram_replies(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Replies to one part's requests (left) from the tree's rows (right)."""
+    pack = _Packer()
     keys, lp = right.column("g").to_numpy(), right.column("lp").to_numpy()
     order = np.argsort(keys)
-    at = order[np.searchsorted(keys[order], g)]
-    return pa.table({"word": pa.array(words, pa.binary()), "n": left.column("n"), "lp": pa.array(np.bincount(which, lp[at], len(words)))})
-
-
-def word_scores(vocabulary: DataFrame, grams: DataFrame, n_words: int) -> DataFrame:
-    """(word, n, lp): vocabulary with log2 probabilities, part by part."""
-    parts = max(1, -(-n_words // PART_WORDS))
-    v = vocabulary.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
-    need = v.groupBy("part").applyInArrow(_part_grams, "part long, g long").join(grams, "g")
-    return v.groupBy("part").cogroup(need.groupBy("part")).applyInArrow(_word_scores, "word binary, n long, lp double")
+    keys, lp = keys[order], lp[order]
+    data = [pack.numbers(lp[np.searchsorted(keys, np.cumsum(pack.to_numbers(k.as_py())))]) for k in left.column("keys")]
+    return pa.table({"block": left.column("block"), "kind": pa.array([GRAMS] * len(data), pa.int32()), "part": left.column("part"), "data": pa.array(data, pa.binary())})
 
 
 # ---- scores
 
-def _scores(id_type: pa.DataType, total: int, distinct: int):
+def _scores(id_type: pa.DataType, parts: int, total: int, distinct: int):
     low = total + 0.1 * (distinct + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        unzip = zstandard.ZstdDecompressor()
-        order = np.argsort(right.column("wid").to_numpy())
-        n, lp = right.column("n").to_numpy()[order], right.column("lp").to_numpy()[order]
-        base = np.log10((n + 0.1) / low)
-        known, log10 = n > 0, lp * np.log10(2.0)
-        out = ([], [], [])
-        for bag in left.column("bag"):
-            ids, c = _unpack_counts(bag.as_py(), unzip)
-            out[0].append(int(c[known[ids]].sum()))
-            out[1].append(round(float(base[ids] @ c), 9))
-            out[2].append(round(float(log10[ids] @ c), 9))
+        pack = _Packer()
+        inside = _Contents()
+        for data in left.column("keys"):
+            texts = pack.to_texts(data.as_py())
+            inside.add(texts, [True] * len(texts))
+        replies = {(k, p): d for k, p, d in zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("data"), strict=True)}
+        count: dict[bytes, int] = {}
+        for p, words in inside.words(parts):
+            count.update(zip(words, pack.to_numbers(replies[WORDS, p].as_py()).tolist(), strict=True))
+        keys, lps = [], []
+        for p, g, _ in inside.grams(parts):
+            keys.append(g)
+            lps.append(pack.to_numbers(replies[GRAMS, p].as_py(), "<f8"))
+        keys, lps = np.concatenate(keys), np.concatenate(lps)
+        order = np.argsort(keys)
+        keys, lps = keys[order], lps[order] * np.log10(2.0)
+        inside, replies = None, None
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for ids, held, data in zip(left.column("ids"), left.column("held"), left.column("keys"), strict=True):
+            texts = pack.to_texts(data.as_py())
+            score = np.zeros(len(texts))
+            for which, g in grams_of(texts):
+                score += np.bincount(which, lps[np.searchsorted(keys, g)], len(texts))
+            out[0].extend(ids.as_py())
+            out[1].extend(held.as_py())
+            for t in texts:
+                words = t[:-1].split()
+                words.append(b"")
+                c = np.fromiter(map(count.__getitem__, words), np.float64, len(words))
+                out[2].append(len(words))
+                out[3].append(int(np.count_nonzero(c)))
+                out[4].append(round(float(np.log10((c + 0.1) / low).sum()), 9))
+            out[5].extend(np.round(score, 9).tolist())
         return pa.table({
-            "doc_id": left.column("doc_id").cast(id_type), "held_out": left.column("held_out"), "n_tokens": left.column("n_tokens"),
-            "n_known": pa.array(out[0], pa.int64()), "train_tokens": pa.array(np.full(len(out[0]), total, np.int64)),
-            "base_score": pa.array(out[1], pa.float64()), "score": pa.array(out[2], pa.float64()),
+            "doc_id": pa.array(out[0], id_type), "held_out": pa.array(out[1], pa.bool_()), "n_tokens": pa.array(out[2], pa.int64()),
+            "n_known": pa.array(out[3], pa.int64()), "train_tokens": pa.array(np.full(len(out[0]), total, np.int64)),
+            "base_score": pa.array(out[4], pa.float64()), "score": pa.array(out[5], pa.float64()),
         })
 
     return run
 
 
-def score(docs: DataFrame, held_out, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out, *, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Train on rows that are not held out, score every whole text."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
-    rows = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(_blocks(id_type, block_bytes), _ROWS.format(id=kind.simpleString()))
-    rows = materialise(rows, "ctw-blocks")
-    entries = rows.where(F.col("wid").isNotNull()).select("block", "wid", "word", "n")
-    vocabulary = materialise(entries.groupBy("word").agg(F.sum("n").alias("n")), "ctw-vocabulary")
-    n_words, total, distinct = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    grams = materialise(vocabulary.mapInArrow(_count_grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "ctw-grams")
-    scored = word_scores(vocabulary, tree(grams), n_words)
-    need = entries.select("block", "wid", "word").join(scored, "word").select(F.col("block").alias("to"), "wid", "n", "lp")
-    bags = rows.where(F.col("wid").isNull()).select("block", "doc_id", "held_out", "n_tokens", "bag")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = min(max(8, -(-size // part_bytes)), 1 << 16)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(_blocks(id_type, parts, block_bytes, piece_bytes), _TEXTS.format(id=kind.simpleString()))
+    rows = materialise(rows, "ctw-blocks", compression="zstd")
+    asked = rows.where(F.col("kind") >= 0).select("block", "kind", "part", "keys", "counts")
+    counts = asked.where(F.col("kind") == WORDS).groupBy("part").applyInArrow(_word_counts, "block long, part long, data binary, known long, total long")
+    counts = materialise(counts, "ctw-words")
+    distinct, total = counts.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    of_grams = asked.where(F.col("kind") == GRAMS)
+    grams = materialise(of_grams.groupBy("part").applyInArrow(_gram_counts, "g long, n long"), "ctw-grams")
+    replies = of_grams.select("block", "part", "keys").groupBy("part").cogroup(tree(grams, parts).groupBy("part")).applyInArrow(_gram_replies, "block long, kind int, part long, data binary")
+    replies = replies.unionByName(counts.select("block", F.lit(WORDS).alias("kind"), "part", "data"))
+    texts = rows.where(F.col("kind") < 0).select("block", "ids", "held", "keys")
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return bags.groupBy("block").cogroup(need.groupBy("to")).applyInArrow(_scores(id_type, total, distinct), schema)
+    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scores(id_type, parts, total, distinct), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against its plain Python version, over ordinary and odd rows."""
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -323,57 +324,73 @@ def test_ctw_base(docs, rows):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == want[d][:4]
         assert abs(r["base_score"] - want[d][4]) < 1e-6
         assert r["score"] < 0
-    small = by_id(ctw_score.score(docs.where("doc_id <> 20000"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, block_bytes=3_000))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    small = by_id(ctw_score.score(docs.where("doc_id <> 20000"), held, block_bytes=3_000, piece_bytes=700, part_bytes=20_000))
     assert all(abs(small[d][0]["score"] - got[d][0]["score"]) < 1e-6 for d, _ in alone)
 
 
-def test_ctw_against_plain_tree():
-    """log2 probabilities equal those of a context tree walked node by node."""
-    words = [b"banana", b"bandana", b"an", b"", b"cab"]
-    n = np.array([5, 2, 9, 4, 0])
-    which, g = ctw_score.word_grams(words)
-    u, inv = np.unique(g, return_inverse=True)
-    c = np.bincount(inv, n[which]).astype(np.int64)
-    rows = defaultdict(lambda: [0, 0, 0.0])
-    for k, a, b, pw in zip(*ctw_score.subtree_sums(u, c), strict=True):
-        r = rows[(k >> 16) * 256 + (k & 255)]
-        r[0] += a
-        r[1] += b
-        r[2] += pw
-    upper = ctw_score.upper_levels([(k, *v) for k, v in rows.items()])
-    got = ctw_score.log2_probabilities(u, c, upper)
-    import math
-
-    depth = ctw_score.DEPTH
-    counts = defaultdict(lambda: [0, 0])
-    for x, m in zip(u.tolist(), c.tolist(), strict=True):
-        ctx = [(x >> (8 * (depth - k + 1))) & 255 for k in range(1, depth + 1)]
-        for bit in range(8):
-            node, one = (1 << bit) | ((x & 255) >> (8 - bit)), ((x & 255) >> (7 - bit)) & 1
-            for d in range(depth + 1):
-                counts[(node, *ctx[:d])][one] += m
-    children = defaultdict(list)
-    for k in counts:
-        if len(k) > 1:
-            children[k[:-1]].append(k)
-    pe = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def pw(k):
-        e = pe(*counts[k])
-        return e if len(k) == depth + 1 else float(np.logaddexp(e, sum(pw(x) for x in children[k])) - math.log(2))
-
-    def prob(k, rest, one):
-        a, b = counts[k]
+class PlainTree:
+    """Context-tree weighting walked node by node, over whole texts."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.children, self.memo = depth, defaultdict(lambda: [0, 0]), defaultdict(set), {}
+        for t in texts:
+            for ctx, node, one in self.steps(t):
+                for d in range(depth + 1):
+                    self.counts[node, ctx[:d]][one] += 1
+                    if d:
+                        self.children[node, ctx[: d - 1]].add((node, ctx[:d]))
+
+    def steps(self, text):
+        raw = bytes(self.depth) + text
+        for i in range(self.depth, len(raw)):
+            ctx = tuple(raw[i - k] for k in range(1, self.depth + 1))
+            for bit in range(8):
+                yield ctx, (1 << bit) | (raw[i] >> (8 - bit)), (raw[i] >> (7 - bit)) & 1
+
+    def pe(self, k):
+        a, b = self.counts[k]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def pw(self, k):
+        if k not in self.memo:
+            e = self.pe(k)
+            self.memo[k] = e if len(k[1]) == self.depth else float(np.logaddexp(e, sum(self.pw(x) for x in self.children[k])) - math.log(2))
+        return self.memo[k]
+
+    def prob(self, node, ctx, d, one):
+        k = node, ctx[:d]
+        a, b = self.counts[k] if k in self.counts else (0, 0)
         kt = ((b if one else a) + 0.5) / (a + b + 1)
-        if not rest or sum(counts[(*k, rest[0])]) == 0:
+        if d == self.depth or (node, ctx[: d + 1]) not in self.counts:
             return kt
-        w = math.exp(pe(a, b) - pw(k) - math.log(2))
-        return w * kt + (1 - w) * prob((*k, rest[0]), rest[1:], one)
-
-    for x, lp in zip(u.tolist(), got, strict=True):
-        ctx = tuple((x >> (8 * (depth - k + 1))) & 255 for k in range(1, depth + 1))
-        want = sum(math.log2(prob(((1 << bit) | ((x & 255) >> (8 - bit)),), ctx, ((x & 255) >> (7 - bit)) & 1)) for bit in range(8))
-        assert abs(want - lp) < 1e-6
+        w = math.exp(self.pe(k) - self.pw(k) - math.log(2))
+        return w * kt + (1 - w) * self.prob(node, ctx, d + 1, one)
+
+    def score(self, text):
+        return sum(math.log10(self.prob(node, ctx, 0, one)) for ctx, node, one in self.steps(text))
+
+
+def test_ctw_against_plain_tree(spark):
+    """Whole texts' scores equal those of a tree walked node by node; the order of words counts."""
+    texts = ["Banana bandana an  cab", "an an an banana\tcab", "cab\nan Bandana", "", None, "zebra an cab", "cab an zebra", "banana" * 40, "é ü 中 an"]
+    held = {5, 6, 8}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in ctw_score.score(docs, F.col("doc_id").isin(*held), block_bytes=40, piece_bytes=20, part_bytes=50).collect()}
+    form = lambda t: "".join(w + " " for w in (t or "").split()).lower().encode() + b"\0"
+    tree = PlainTree([form(t) for i, t in enumerate(texts) if i not in held], ctw_score.DEPTH)
+    for i, t in enumerate(texts):
+        assert abs(got[i] - tree.score(form(t))) < 1e-6, t
+    assert abs(got[5] - got[6]) > 1e-3
+
+
+def test_ctw_windows():
+    """Grams come once each, whatever the window."""
+    texts = [b"abc\0", b"\0", b"de fgh ij\0"]
+    whole = [(w, g) for ws, gs in ctw_score.grams_of(texts) for w, g in zip(ws.tolist(), gs.tolist(), strict=True)]
+    for window in (1, 3, 7):
+        assert [(w, g) for ws, gs in ctw_score.grams_of(texts, window) for w, g in zip(ws.tolist(), gs.tolist(), strict=True)] == whole
+    assert [w for w, _ in whole] == [0] * 4 + [1] + [2] * 10
 
 
 @pytest.mark.parametrize("hot", [1_000_000, 3])
