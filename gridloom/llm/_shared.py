@@ -35,6 +35,11 @@ def materialise(df: DataFrame, name: str, *, compression: str | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a text; null counts as the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def crc_part(col: Column, n: int) -> Column:
     """crc32 of an id's decimal text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

@@ -5,12 +5,15 @@ distinct documents within a host. A line over `most_documents` is boiler-plate t
 from every document but the first (least id) that has it. Documents that so lose over
 `most_lost` of their words are depleted and rejected.
 
-Documents with the same text count once, so a copied document does not make its own lines
-boiler-plate. Hash and counts cover all documents; the join of lines to counts has a hot key
+A document is its id and its text: the repeats of a row count once, and rows of different ids
+count each, so a page that is copied often makes its own lines boiler-plate and only its first
+copy keeps them. Hash and counts cover all documents; the join of lines to counts has a hot key
 only where a line is hot, and then Spark splits it.
 
 Defined results for odd rows: a null text has no words and fails the base rules; a null host
-is a host; repeated rows get the same result; other columns are ignored.
+is a host; rows without an id are told apart by their texts and come last where a first document
+is sought; repeated rows get the same result, each with its own loss; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gridloom.llm._shared import materialise
+from gridloom.llm._shared import materialise, text_key
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -37,10 +40,6 @@ _STATS = "doc_id {id}, host string, text_hash long, n_words long, word_chars lon
 _DIGITS = re.compile(rb"[0-9]+")
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words that lie in a window of `window` words found twice or more."""
     n = len(words) - window + 1
@@ -107,20 +106,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge(docs: DataFrame, *, host: str = "source", most_documents: int = MOST_DOCUMENTS, most_lost: float = MOST_LOST) -> tuple[DataFrame, DataFrame]:
-    """(rows of `judge`, removed lines: host, text_hash, h and more)."""
+    """(rows of `judge`, with row, host and text_hash; removed lines: row, host, doc_id, text_hash, h, n)."""
     stats = _STATS.format(id=docs.schema["doc_id"].dataType.simpleString())
-    rows = materialise(docs.select("doc_id", F.col(host).cast("string").alias("host"), "text", text_key(F.col("text")).alias("text_hash")).mapInArrow(_scan, stats), "quality")
-    at = rows.select("doc_id", "host", "text_hash", F.explode("lines").alias("l")).select("doc_id", "host", "text_hash", "l.h", "l.n")
-    each = at.groupBy("host", "h", "text_hash").agg(F.min("doc_id").alias("first"))
-    # the first document is told by its text, so all copies of it keep the line
-    common = each.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min_by("text_hash", F.struct("first", "text_hash")).alias("owner")).where(F.col("n_docs") > most_documents)
+    scanned = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text", text_key(F.col("text")).alias("text_hash")).mapInArrow(_scan, stats)
+    rows = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "quality")
+    at = rows.select("row", "doc_id", "host", "text_hash", F.explode("lines").alias("l")).select("row", "doc_id", "host", "text_hash", "l.h", "l.n")
+    # a document is its id and text: its repeats count once, documents with the same text do not
+    each = at.select("host", "h", F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").distinct()
+    common = each.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min(F.struct("no_id", "doc_id", "text_hash")).alias("owner")).where(F.col("n_docs") > most_documents)
     common = common.select(F.col("host").alias("__host"), F.col("h").alias("__h"), "owner")
-    hit = at.join(common, at["host"].eqNullSafe(common["__host"]) & (at["h"] == common["__h"])).where(F.col("text_hash") != F.col("owner"))
-    # copies share host, text and so the loss: one row of each text counts
-    lost = hit.groupBy("host", "text_hash", "doc_id").agg(F.sum("n").alias("n")).groupBy("host", "text_hash").agg(F.min("n").alias("lost_words"))
-    lost = lost.select(F.col("host").alias("__host"), F.col("text_hash").alias("__t"), "lost_words")
-    out = rows.drop("lines").join(lost, rows["host"].eqNullSafe(lost["__host"]) & (rows["text_hash"] == lost["__t"]), "left").drop("__host", "__t")
-    out = out.withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
+    owns = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("text_hash") == F.col("owner.text_hash"))
+    hit = at.join(common, at["host"].eqNullSafe(common["__host"]) & (at["h"] == common["__h"])).where(~owns).select("row", "host", "doc_id", "text_hash", "h", "n")
+    lost = hit.groupBy("row").agg(F.sum("n").alias("lost_words"))
+    out = rows.drop("lines").join(lost, "row", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
     bad = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", bad)
     return out.withColumn("kept", ~bad & (F.col("lost_words") <= most_lost * F.col("n_words"))), hit
@@ -128,7 +126,7 @@ def _judge(docs: DataFrame, *, host: str = "source", most_documents: int = MOST_
 
 def judge(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: the counts, base_failed, lost_words (in removed lines) and kept."""
-    return _judge(docs, **options)[0]
+    return _judge(docs, **options)[0].drop("row")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -146,37 +144,39 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     """docs without the rejected documents, and the rest without the lines that too many documents
     share (the first document keeps them); n_chars follows, other columns and rows are untouched."""
     judged, hit = _judge(docs, **options)
-    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("host").alias("__s")).distinct()
-    gone = hit.groupBy("host", "text_hash").agg(F.collect_set("h").alias("__gone")).select(F.col("host").alias("__s"), F.col("text_hash").alias("__t"), "__gone")
-    keyed = docs.withColumn("__key", text_key(F.col("text")))
-    host = keyed[options.get("host", "source")].cast("string")
-    same = keyed["doc_id"].eqNullSafe(bad["__d"]) & (keyed["__key"] == bad["__t"]) & host.eqNullSafe(bad["__s"])
-    left = keyed.join(bad, same, "left_anti")
-    here = left.join(gone, (left["__key"] == gone["__t"]) & left[options.get("host", "source")].cast("string").eqNullSafe(gone["__s"]), "left").drop("__t", "__s", "__key")
+    who = ["doc_id", "host", "text_hash"]  # rows alike in these three are judged alike
+    gone = hit.groupBy("row").agg(F.collect_set("h").alias("gone"))
+    marked = judged.join(gone, "row", "left").where(~F.col("kept") | F.col("gone").isNotNull()).groupBy(*who).agg(F.first("kept").alias("kept"), F.first("gone").alias("gone"))
+    marked = materialise(marked, "quality-marked").alias("m")
+    # the row itself stays apart from helper columns, whatever its own are called
+    keyed = docs.select(F.struct(*docs.columns).alias("r"), F.col("doc_id").alias("d"), F.col(options.get("host", "source")).cast("string").alias("s"), text_key(F.col("text")).alias("t"))
+    same = F.col("d").eqNullSafe(F.col("m.doc_id")) & (F.col("t") == F.col("m.text_hash")) & F.col("s").eqNullSafe(F.col("m.host"))
+    here = keyed.join(marked, same, "left").where(F.coalesce("m.kept", F.lit(True)))
     # only texts that lose a line go to Python
-    fresh = here.withColumn("__new", _cut(F.when(F.col("__gone").isNotNull(), F.col("text")), "__gone"))
+    fresh = here.select("r", _cut(F.when(F.col("m.gone").isNotNull(), F.col("r.text")), F.col("m.gone")).alias("new"))
+    row = F.col("r").withField("text", F.coalesce("new", "r.text"))
     if "n_chars" in docs.columns:
-        fresh = fresh.withColumn("n_chars", F.when(F.col("__new").isNotNull(), F.length("__new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return fresh.withColumn("text", F.coalesce("__new", "text")).select(docs.columns)
+        row = row.withField("n_chars", F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("r.n_chars")).cast(docs.schema["n_chars"].dataType))
+    return fresh.select(row.alias("r")).select("r.*")
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, text FROM d),
-pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
-win AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS g FROM pos),
-rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
-covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM rep) GROUP BY doc_id),
-lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, text FROM d),
+pos AS (SELECT row, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
+win AS (SELECT row, i, array_to_string(ws[i:i+4], ' ') AS g FROM pos),
+rep AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM win) WHERE n > 1),
+covered AS (SELECT row, count(DISTINCT k) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS k FROM rep) GROUP BY row),
+lines AS (SELECT row, doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
 real AS (SELECT *, regexp_replace(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS norm,
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM real GROUP BY doc_id),
-common AS (SELECT source, norm, arg_min(text, doc_id) AS owner FROM real GROUP BY source, norm HAVING count(DISTINCT text) > 20),
-lost AS (SELECT r.doc_id, sum(r.n) AS n FROM real r JOIN common c ON r.source IS NOT DISTINCT FROM c.source AND r.norm = c.norm WHERE r.text <> c.owner GROUP BY r.doc_id),
-s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+dup AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM real GROUP BY row),
+common AS (SELECT source, norm, min(doc_id) AS owner FROM real GROUP BY source, norm HAVING count(DISTINCT {'d': doc_id, 't': text}) > 20),
+lost AS (SELECT r.row, sum(r.n) AS n FROM real r JOIN common c ON r.source IS NOT DISTINCT FROM c.source AND r.norm = c.norm WHERE r.doc_id IS DISTINCT FROM c.owner GROUP BY r.row),
+s AS (SELECT w.row, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS lost_words
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id)),
+  FROM w LEFT JOIN dup USING (row) LEFT JOIN covered USING (row) LEFT JOIN lost USING (row)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND lost_words <= 0.7 * n_words AS kept, lost_words FROM b

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import materialise
+from gridloom.llm._shared import materialise, text_key
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Leading field of each rotation: first bit (from the top) and width.
@@ -62,12 +62,7 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = np.array([fingerprint(t.as_py() or "") for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -229,14 +224,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
-    """doc_id, fp, component_id of every row of docs."""
-    marked = materialise(fingerprints(docs), "fingerprints")
+    """doc_id, text_hash, fp, component_id of every row of docs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hashed = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_hash"))
+    marked = materialise(hashed.mapInArrow(_fingerprints, f"doc_id {kind}, text_hash long, fp long"), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
     found = components(links(nodes.select("fp"), hot=hot))
     tied = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = tied.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = tied.join(ids, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -245,15 +242,25 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component: its least doc_id; of rows that share that id, one."""
-    return first_of_each(docs, classes(docs.where(F.col("doc_id").isNotNull()), **options))
+    """docs with one row of each component: that of its least doc_id."""
+    return first_of_each(docs, classes(docs, **options))
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with one row of each component of `found` (doc_id, component_id), and those without an id."""
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").groupBy("doc_id").count()
-    once = first.where("count = 1").select(F.col("doc_id").alias("__d"))
-    more = first.where("count > 1").select(F.col("doc_id").alias("__d"))
-    kept = docs.join(once, docs["doc_id"] == F.col("__d"), "left_semi")
-    many = docs.join(more, docs["doc_id"] == F.col("__d"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(many).unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each component of `found` (doc_id, text_hash, root): the row of its least
+    doc_id, nulls last, and of texts that share the id the least hash. A row is told by id and
+    text, so no row of another text goes with it; of rows alike in both, the least in the others' hash stays."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), order).alias("f")).select("f.*")
+    first = materialise(first, "first-of-each")
+    keyed = docs.select(F.struct(*docs.columns).alias("r"), F.col("doc_id").alias("d"), text_key(F.col("text")).alias("t"))
+
+    def met(some: DataFrame) -> DataFrame:
+        return keyed.join(some, keyed["d"].eqNullSafe(some["doc_id"]) & (keyed["t"] == some["text_hash"]), "left_semi")
+
+    kept = met(first.where("n = 1")).select("r.*")
+    if not first.where("n > 1").limit(1).count():
+        return kept
+    least = F.min_by("r", F.xxhash64(*[F.col("r")[c] for c in docs.columns]))
+    return kept.unionByName(met(first.where("n > 1")).groupBy("d", "t").agg(least.alias("r")).select("r.*"))

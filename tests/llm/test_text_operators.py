@@ -127,11 +127,32 @@ def test_quality_shared_lines(spark):
     """A line in too many documents of a host goes from all but its first; a host of its own keeps it."""
     shared = "this very long line is boiler plate that many documents of one host all have in common"
     rows = [(i, f"{shared}\nshort tail {i} of words", "h") for i in range(30)] + [(100, f"{shared}\nshort tail here", "other")]
-    copies = [(200 + i, "exact copies do not make their own lines common at all in here", "h") for i in range(50)]
-    df = spark.createDataFrame(rows + copies, "doc_id long, text string, source string")
+    copies = [(200 + i, "exact copies make their own lines common, and the first one keeps them all", "h") for i in range(50)]
+    few = [(300 + i, "so few copies are below the limit and every one of them stays as it is", "h") for i in range(20)]
+    df = spark.createDataFrame(rows + copies + few, "doc_id long, text string, source string")
     got = by_id(line_quality.report(df))
+    assert all(got[300 + i][0]["kept"] for i in range(20))
     assert [got[i][0]["kept"] for i in range(30)] == [True] + [False] * 29
-    assert got[100][0]["kept"] and all(got[200 + i][0]["kept"] for i in range(50))
+    assert got[100][0]["kept"] and [got[200 + i][0]["kept"] for i in range(50)] == [True] + [False] * 49
+
+
+def test_quality_repeated_rows(spark):
+    """Each repeat of a row has the loss of one, also where the id is null; repeats count as one document."""
+    line = "one common line of just eight words here"
+    tail = "and eleven words of its own that nobody else has number"
+    rows = [(i, f"{line}\n{tail} {chr(97 + i)}", "h") for i in range(25)]
+    odd = [(None, f"{line}\n{tail} odd", "h"), (None, f"{line}\n{tail} even", "h")]
+    alone = [(50, "a line that one document repeats in thirty equal rows of the table", "h")] * 30
+    clash = spark.createDataFrame([(*r, "x", 1) for r in rows + rows[5:6] + odd + odd[:1] + alone], "doc_id long, text string, source string, `row` string, h int")
+    got = by_id(line_quality.report(clash))
+    assert [(r["lost_words"], r["kept"]) for r in got[0]] == [(0, True)]
+    assert [(r["lost_words"], r["kept"]) for r in got[5]] == [(8, True)] * 2
+    assert [r["lost_words"] for r in got[None]] == [8] * 3
+    assert [r["lost_words"] for r in got[50]] == [0] * 30
+    kept = line_quality.keep(clash)
+    assert kept.columns == clash.columns
+    texts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert texts[5, f"{tail} f"] == 2 and texts[0, rows[0][1]] == 1 and texts[None, f"{tail} odd"] == 2 and texts[50, alone[0][1]] == 30
 
 
 def test_quality_removes_shared_lines(spark):
@@ -435,6 +456,18 @@ def test_keep_first(docs, rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+@pytest.mark.parametrize("operator", [simhash_dedup, near_copies])
+def test_keep_first_loses_no_other_text(spark, operator):
+    """Rows that share an id, or have none, go only where another row of their component stays."""
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(30)) for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [(1, a, "s"), (1, b, "s"), (1, a, "r"), (2, a, "s"), (None, c, "s"), (None, c, "s"), (None, d, "s"), (3, d, "s"), (None, None, "s"), (4, "", "s")]
+    df = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, source string, root string, t double").repartition(3)
+    kept = operator.keep_first(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert Counter(got) == Counter([(1, a), (1, b), (None, c), (3, d), (4, "")])
+
+
 def jaccard_components(rows):
     """{doc_id: least doc_id of its component} for (doc_id, text), every pair compared."""
     shingled = {}
