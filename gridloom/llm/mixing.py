@@ -1,19 +1,20 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Each source's words, its documents in pseudorandom order, form blocks of `block` words. The
-mixture is a row of output slots, `per_shard` to a shard. A keyed permutation of all slots
-deals them to the sources, so each shard's source counts are a multinomial draw given that
-the whole mixture meets its targets. A slot's rank among its source's slots goes through
-that source's own index permutation to a block; blocks meet slots in a join by index. Each
-block comes round once before any comes round twice; the last slot of a source is cut to
-the target.
+mixture is a row of output slots, `per_shard` to a shard. Each shard draws its source counts from
+the multinomial distribution of the targets, slot by slot. The draws miss the targets by chance, and
+are corrected in the open: a source's draws, in a pseudorandom order of their own, fill its
+places 0, 1, ... up to its target, and those beyond it go to the sources that were drawn too seldom. A
+place goes through that source's own index permutation to a block; blocks meet places in a join
+by index. Each block comes round once before any comes round twice; the last place of a source is
+cut to the target.
 
-Only one row per source reaches the driver: a mixture has a weight for each source, so
-their number is that of a setting, not of the data.
+One row per source reaches the driver: a mixture has a weight for each source, so their number is
+that of a setting, not of the data, and more than `MOST_SOURCES` are refused.
 
 Defined results for odd rows: a null text has size 0; a document of size 0 is never taken;
 an absent source is one source of its own, last; repeated rows are packed as separate
-documents; no documents, no rows; other columns are ignored.
+documents; no documents, no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from gridloom.llm._shared import WORD, materialise
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
 BLOCK, PER_SHARD = 128, 256
-#: Prefix sums run in so many independent parts of each source.
-PARTS = 1024
+#: Sources that a mixture may have.
+MOST_SOURCES = 10_000
 
 
 @dataclass(frozen=True)
@@ -114,30 +115,60 @@ def _table(spark: SparkSession, sources: list[Source]) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(rows), T.ArrayType(schema))).alias("p")).select("p.*")
 
 
-def slots(spark: SparkSession, sources: list[Source], *, block: int = BLOCK, per_shard: int = PER_SHARD, seed: int = 0) -> DataFrame:
-    """The mixture: shard, slot, sid, idx (block of the source), cut (words the slot leaves out at its end).
+def _unit(*cols: Column) -> Column:
+    """A pseudorandom number in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / float(1 << 53)
+
 
-    A Feistel network over the (shard, slot) grid permutes the slots: each round turns a row or
-    column by a hash of the other coordinate, and so maps the grid onto itself.
-    """
+def draws(spark: SparkSession, sources: list[Source], *, per_shard: int = PER_SHARD, seed: int = 0) -> DataFrame:
+    """shard, slot, sid: each slot's source, drawn by the targets; a shard's counts are multinomial."""
     n = sum(s.slots for s in sources)
     shards = -(-n // per_shard)
-    df = spark.range(shards * per_shard).select((F.col("id") / per_shard).cast("long").alias("shard"), (F.col("id") % per_shard).alias("slot"))
-    r, c = F.col("shard"), F.col("slot")
-    for k in range(3):
-        c = F.pmod(c + F.pmod(F.xxhash64(r, F.lit(seed), F.lit(2 * k)), F.lit(per_shard)), F.lit(per_shard))
-        df = df.withColumn(f"__c{k}", c)
-        c = F.col(f"__c{k}")
-        r = F.pmod(r + F.pmod(F.xxhash64(c, F.lit(seed), F.lit(2 * k + 1)), F.lit(max(shards, 1))), F.lit(max(shards, 1)))
-        df = df.withColumn(f"__r{k}", r)
-        r = F.col(f"__r{k}")
-    df = df.select("shard", "slot", (r * per_shard + c).alias("q")).where(F.col("q") < n)
-    bounds = F.expr("array(" + ",".join(f"{s.first + s.slots}L" for s in sources) + ")")
-    df = df.withColumn("sid", F.size(F.filter(bounds, lambda x: x <= F.col("q"))))
+    df = spark.range(shards * per_shard).where(F.col("id") < n).select(F.floor(F.col("id") / per_shard).alias("shard"), (F.col("id") % per_shard).alias("slot"))
+    bounds = F.expr("array(" + ",".join(f"{(s.first + s.slots) / n!r}D" for s in sources[:-1]) + ")") if n and len(sources) > 1 else F.array().cast("array<double>")
+    return df.withColumn("sid", F.size(F.filter(bounds, lambda x: x <= _unit(F.lit(seed), F.lit("draw"), F.col("shard"), F.col("slot")))))
+
+
+def slots(spark: SparkSession, sources: list[Source], *, block: int = BLOCK, per_shard: int = PER_SHARD, seed: int = 0) -> DataFrame:
+    """The mixture: shard, slot, drawn (source by the draw), sid, idx (block of the source), cut
+    (words the slot leaves out at its end)."""
+    drawn = draws(spark, sources, per_shard=per_shard, seed=seed)
+    counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n"))
+    # running sums over shards in two levels, each of about the square root of their number
+    wide = max(1, math.isqrt(-(-sum(s.slots for s in sources) // per_shard)))
+    counts = counts.withColumn("part", F.floor(F.col("shard") / wide))
+    sums = counts.groupBy("part", "sid").agg(F.sum("n").alias("n"))
+    got = {r["sid"]: r["n"] for r in sums.groupBy("sid").agg(F.sum("n").alias("n")).collect()}  # a row per source
+    before = sums.select("part", "sid", (F.sum("n").over(Window.partitionBy("sid").orderBy("part")) - F.col("n")).alias("base"))
+    within = counts.withColumn("in", F.sum("n").over(Window.partitionBy("sid", "part").orderBy("shard")) - F.col("n")).join(before, ["part", "sid"])
+    ranked = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1)
+    ranked = ranked.join(within.select("shard", "sid", (F.col("base") + F.col("in")).alias("base")), ["shard", "sid"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # a source's draws in an order of their own; what is beyond its slots is over
+    rows, over, wanting = [], 0, []
+    for s in sources:
+        t = got.get(s.sid, 0)
+        rows.append({"sid": s.sid, "drawn": t, "slots": s.slots, "over": over, "p": _multiplier(t, seed + 7 + s.sid), "q": (0xC2B2AE35 * (s.sid + seed + 1)) % max(t, 1)})
+        over += max(0, t - s.slots)
+        wanting.append((s.sid, t, max(0, s.slots - t)))
+    plan_ = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), T.ArrayType(T.StructType([T.StructField(k, T.IntegerType() if k == "sid" else T.LongType()) for k in ("sid", "drawn", "slots", "over", "p", "q")])))).alias("x")).select("x.*")
+    df = ranked.join(F.broadcast(plan_), "sid")
+    place = F.when(F.col("drawn") > 0, F.pmod(F.col("p") * F.col("rank") + F.col("q"), F.col("drawn")))
+    df = df.select("shard", "slot", F.col("sid").alias("by_draw"), place.alias("place"), "slots", (F.col("over") + place - F.col("slots")).alias("spare"))
+    # the sources that want slots take the spare ones in turn
+    ends, at = [], 0
+    for sid, t, w in wanting:
+        if w:
+            ends.append((sid, t, at, at + w))
+            at += w
+    literal = lambda k, kind: F.expr(f"array({','.join(f'{e[k]}{kind}' for e in ends)})") if ends else F.array().cast("array<bigint>")
+    taker = F.size(F.filter(literal(3, "L"), lambda x: x <= F.col("spare")))
+    is_spare = F.col("place") >= F.col("slots")
+    df = df.select("shard", "slot", "by_draw",
+        F.when(is_spare, F.get(literal(0, "L"), taker)).otherwise(F.col("by_draw")).cast("int").alias("sid"),
+        F.when(is_spare, F.get(literal(1, "L"), taker) + F.col("spare") - F.get(literal(2, "L"), taker)).otherwise(F.col("place")).alias("rank"))
     df = df.join(F.broadcast(_table(spark, sources)), "sid")
-    rank = F.col("q") - F.col("first")
-    idx = F.pmod(F.col("a") * (rank % F.col("blocks")) + F.col("b"), F.col("blocks"))
-    return df.select("shard", "slot", "sid", idx.alias("idx"), F.when(rank == F.col("slots") - 1, F.col("cut")).otherwise(0).alias("cut"))
+    idx = F.pmod(F.col("a") * (F.col("rank") % F.col("blocks")) + F.col("b"), F.col("blocks"))
+    return df.select("shard", "slot", F.col("by_draw").alias("drawn"), "sid", idx.alias("idx"), F.when(F.col("rank") == F.col("slots") - 1, F.col("cut")).otherwise(0).alias("cut"))
 
 
 def pieces(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, per_shard: int = PER_SHARD, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -145,15 +176,18 @@ def pieces(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: floa
     source), source_size, target. pieces: sid, at, from, until (words of the document), shard, slot."""
     spark = docs.sparkSession
     sized = materialise(docs.select("doc_id", "source", _size(F.col("text")).alias("size"), F.xxhash64("text").alias("__h")), "mix-sizes")
+    n = sized.count()
     totals = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # a row per source
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"{len(totals)} sources; a mixture takes {MOST_SOURCES} at most")
     if not totals:
         totals = [(None, 0)]
     sources = plan(totals, weights=weights, share=share, most=most, block=block, seed=seed)
     dim = F.broadcast(_table(spark, sources).select("sid", "name", F.col("size").alias("source_size"), "target"))
     df = sized.join(dim, sized["source"].eqNullSafe(dim["name"])).drop("name")
-    # places within a source: sums over parts, then within them
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    df = df.withColumn("part", F.pmod(order, F.lit(PARTS))).withColumn("__o", order)
+    # places within a source: sums over parts, then within them; both are about the square root of the documents
+    order = F.xxhash64(F.col("doc_id"), F.col("__h"), F.lit(seed))
+    df = df.withColumn("part", F.pmod(order, F.lit(max(64, math.isqrt(n))))).withColumn("__o", order)
     sums = df.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     before = sums.select("sid", "part", (F.sum("n").over(Window.partitionBy("sid").orderBy("part")) - F.col("n")).alias("base"))
     inner = Window.partitionBy("sid", "part").orderBy("__o", "doc_id", "__h", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -187,21 +221,21 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     which it has words, its text cut to the words taken. Those of no words, or not drawn, go."""
     df, got = pieces(docs, **options)
     turn = F.row_number().over(Window.partitionBy("sid", "at", "from").orderBy(F.desc("until"), "shard", "slot"))
-    runs = got.withColumn("turn", turn).groupBy("sid", "at", "turn").agg(F.array_sort(F.collect_list(F.struct(F.col("from"), F.col("until")))).alias("__runs"))
+    runs = got.withColumn("turn", turn).groupBy("sid", "at", "turn").agg(F.array_sort(F.collect_list(F.struct(F.col("from"), F.col("until")))).alias("runs"))
     places = df.where(F.col("size") > 0).select("sid", "at", "doc_id", "size", "__h")
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("r"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("source").alias("s"))
     # repeated rows are told apart by a number; it costs a sort of the texts, so only where there are any
     repeats = places.groupBy("doc_id", "__h").count().where("count > 1").limit(1).count() > 0
-    places = places.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("sid", "at")) if repeats else F.lit(1))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.col("source").asc_nulls_last()))
-    keyed = keyed.withColumn("__n", nth if repeats else F.lit(1))
-    wanted = runs.join(places, ["sid", "at"]).select(F.col("doc_id").alias("__d"), F.col("__h").alias("__k"), F.col("__n").alias("__m"), F.col("size").alias("__size"), "__runs")
-    same = keyed["doc_id"].eqNullSafe(wanted["__d"]) & (keyed["__h"] == wanted["__k"]) & (keyed["__n"] == wanted["__m"])
-    both = keyed.join(wanted, same)
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    whole = (F.size("__runs") > 0) & (F.aggregate("__runs", F.lit(0).cast("long"), lambda acc, x: acc + x["until"] - x["from"]) == F.col("__size"))
-    some = F.transform("__runs", lambda x: F.array_join(F.slice(words, (x["from"] + 1).cast("int"), (x["until"] - x["from"]).cast("int")), ""))
-    both = both.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(some, "")))
+    places = places.withColumn("m", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("sid", "at")) if repeats else F.lit(1))
+    nth = F.row_number().over(Window.partitionBy("d", "h").orderBy(F.col("s").asc_nulls_last()))
+    keyed = keyed.withColumn("n", nth if repeats else F.lit(1))
+    wanted = runs.join(places, ["sid", "at"]).select(F.col("doc_id").alias("w"), F.col("__h").alias("k"), "m", "size", "runs")
+    both = keyed.join(wanted, F.col("d").eqNullSafe(F.col("w")) & (F.col("h") == F.col("k")) & (F.col("n") == F.col("m"))).select("r", "size", "runs")
+    words = F.regexp_extract_all(F.col("r.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    whole = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, x: acc + x["until"] - x["from"]) == F.col("size")
+    some = F.transform("runs", lambda x: F.array_join(F.slice(words, (x["from"] + 1).cast("int"), (x["until"] - x["from"]).cast("int")), ""))
+    text = F.when(whole, F.col("r.text")).otherwise(F.array_join(some, ""))
+    row = F.col("r").withField("text", text)
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+        row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return both.select(row.alias("r")).select("r.*")

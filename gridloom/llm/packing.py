@@ -2,11 +2,11 @@
 
 Documents are tokenised once, in whole; a document longer than a bin becomes full pieces and
 one shorter first piece, so all but the first piece fill a bin of their own. First pieces are
-dealt to groups by a hash; each group packs its own by best fit, longest first, and emits bins
-that no leftover could use. After best fit no two bins of a group fit together, so at most
-one bin of a group is at most half full; it goes up the tree as an item, with as many of the
-emptiest other bins, its possible hosts, as groups meet in one merge. Merges repeat best fit
-on those until one node is left; every node holds at most FAN * (FAN + 1) bins.
+dealt to groups by a hash; each group packs its own by best fit, longest first. Bins with at most
+`slack` tokens of room are emitted; all others go up a tree as items: `FAN` groups meet in a node,
+which packs their bins by best fit, emits what is nearly full, and passes the rest on. A node
+never holds more than `group` bins: where many stay underfull, the next level has more nodes. The
+tree ends at one node, or when a level joins less than `least_gain` of its bins: then all are emitted.
 
 Defined results for odd rows: a null text is empty and still packs its end mark; repeated
 rows are packed as separate documents; no documents, no rows; other columns are ignored.
@@ -25,13 +25,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.llm._shared import materialise
 
 BIN, END = 1024, 2
-#: First pieces in a group of the lowest level, and groups that meet in a merge.
-GROUP, FAN = 20_000, 16
+#: First pieces in a group of the lowest level, groups that meet in a merge, and room that a nearly full bin may have.
+GROUP, FAN, SLACK = 20_000, 16, 8
 SPECIAL = "<|endoftext|>"
 #: The byte-level pre-tokenizer's pattern, a fixed value of the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -145,51 +144,42 @@ def _local(size: int):
 
 
 def _merge(size: int):
-    """Bins that meet in one node: small ones move into hosts; what may still move or host goes up."""
+    """Bins that meet in one node, packed as items by best fit."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # hosts first, fullest first: small bins then take the tightest of them
         pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True], kind="stable")
-        fills = pdf["fill"].tolist()
-        where, offset, fill = best_fit(fills, size)
+        where, offset, fill = best_fit(pdf["fill"].tolist(), size)
         members: dict[int, list] = {}
         for w, o, m in zip(where, offset, pdf["members"], strict=True):
             members.setdefault(w, []).extend({"bin": x["bin"], "shift": x["shift"] + o} for x in m)
         rows = [(min(x["bin"] for x in m), fill[w], m) for w, m in members.items()]
-        small = [r for r in rows if 2 * r[1] <= size]
-        hosts = sorted((r for r in rows if 2 * r[1] > size), key=lambda r: (r[1], r[0]))[:FAN]
-        up = {r[0] for r in (*small, *hosts)}
-        return pd.DataFrame({"node": pdf["node"].iloc[0] // FAN, "bin": [r[0] for r in rows], "fill": [r[1] for r in rows], "members": [r[2] for r in rows], "up": [r[0] in up for r in rows]})
+        return pd.DataFrame({"bin": [r[0] for r in rows], "fill": [r[1] for r in rows], "members": [r[2] for r in rows]})
 
     return run
 
 
-def pack(pieces: DataFrame, *, size: int = BIN, group: int = GROUP) -> DataFrame:
+def pack(pieces: DataFrame, *, size: int = BIN, group: int = GROUP, slack: int = SLACK, least_gain: float = 1e-3) -> DataFrame:
     """pieces (doc_id, row, piece, start, length, ids_crc32) with sequence_id and offset."""
     heads = pieces.where("piece = 0")
-    n = heads.count()
-    groups = max(1, -(-n // group))
+    groups = max(1, -(-heads.count() // group))
     dealt = heads.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp"))
     local = materialise(dealt.groupBy("grp").applyInPandas(_local(size), "row long, bin long, offset long, fill long"), "pack-local")
-    # up the tree: each group's small bin, and its emptiest others as hosts
-    bins = local.groupBy("bin").agg(F.first("fill").alias("fill")).where(F.col("fill") < size)
-    bins = bins.withColumn("node", F.shiftright("bin", 32))
-    least = Window.partitionBy("node").orderBy("fill", "bin")
-    bins = bins.withColumn("k", F.row_number().over(least)).where(F.col("k") <= FAN + 1)
-    up = bins.select(F.floor(F.col("node") / FAN).alias("node"), "bin", "fill", F.array(F.struct(F.col("bin"), F.lit(0).cast("long").alias("shift"))).alias("members"))
-    moved, nodes = [], groups
-    while nodes > 1:
-        nodes = -(-nodes // FAN)
-        schema = "node long, bin long, fill long, members array<struct<bin:bigint,shift:bigint>>, up boolean"
-        level = materialise(up.groupBy("node").applyInPandas(_merge(size), schema), "pack-merge")
-        moved.append(level.where(~F.col("up") | F.lit(nodes == 1)).select("bin", "members"))
-        up = level.where("up").drop("up")
-    if moved:
-        final = moved[0]
-        for m in moved[1:]:
-            final = final.unionByName(m)
-        final = final.where(F.size("members") > 1).select(F.col("bin").alias("__to"), F.explode("members").alias("m")).select("__to", F.col("m.bin").alias("bin"), F.col("m.shift").alias("shift"))
-        local = local.join(final, "bin", "left").select("row", F.coalesce("__to", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    bins = local.groupBy("bin").agg(F.first("fill").alias("fill"))
+    up = bins.where(F.col("fill") < size - slack).select("bin", "fill", F.array(F.struct(F.col("bin"), F.lit(0).cast("long").alias("shift"))).alias("members"))
+    n, final = up.count(), None
+    while groups > 1 and n > 1:
+        groups = max(-(-groups // FAN), -(-n // group))
+        node = F.pmod(F.xxhash64("bin", F.lit(groups)), F.lit(groups))
+        schema = "bin long, fill long, members array<struct<bin:bigint,shift:bigint>>"
+        level = materialise(up.groupBy(node.alias("node")).applyInPandas(_merge(size), schema), "pack-merge")
+        after, left = level.agg(F.count("*"), F.count(F.when(F.col("fill") < size - slack, 1))).first()
+        end = n - after <= least_gain * n
+        done = level.where((F.col("fill") >= size - slack) | F.lit(end or groups == 1)).select("bin", "members")
+        final = done if final is None else final.unionByName(done)
+        up, n = level.where(F.col("fill") < size - slack), 0 if end else left
+    if final is not None:
+        final = final.where(F.size("members") > 1).select(F.col("bin").alias("seq"), F.explode("members").alias("m")).select("seq", F.col("m.bin").alias("bin"), F.col("m.shift").alias("shift"))
+        local = local.join(final, "bin", "left").select("row", F.coalesce("seq", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
     local = local.select("row", F.col("bin").alias("sequence_id"), "offset")
     placed = heads.join(local, "row")
     # full pieces: numbers below zero, one of its own for each

@@ -1,29 +1,37 @@
 """Information-theoretic sanitising of personal data, in DataFrame functions only.
 
-Protected entities are the personal data that patterns find (e-mail, IP, card, phone).
-A term near an entity discloses it as far as knowing the term shortens the entity's code:
-with document counts N, df(e), df(t) and co(e, t),
+Protected entities are the personal data that patterns find (e-mail, IP, card, phone), and the
+class that each belongs to: a mail domain, a network, an issuer, an area. Values are mostly seen
+once or twice; their classes give them a corpus. With counts of distinct texts N, df(e), df(t)
+and co(e, t), all over whole texts,
 
     IC(e)  = log2(N / df(e))            information of the entity
     PMI    = log2(co * N / (df(e) df(t)))
     disclosure(e, t) = PMI / IC(e)      1: the term gives the entity away
 
-Terms at or over `remove_at` are removed, those at or over `generalise_at` are replaced by
-a general word, in the windows around that entity. Counts cover the whole corpus. A pair
-counts only if it was seen in `support` different contexts, so copies of one document
-make no evidence.
+Terms at or over `remove_at` are removed, those at or over `generalise_at` are replaced by the
+kind of word they are (a name, an acronym, a term), wherever they stand in the documents that
+hold the entity. A pair counts only if it was seen in `support` different texts and stands
+out from chance: co * PMI, in bits, is at least `evidence` * log2(N), as more texts have more pairs
+that meet by chance. Copies of a text count once.
+
+Plan: one scan finds the patterns and hashes each text's distinct terms; all counting goes over
+those hashes. Only documents with an entity that has support meet their terms, and only those
+with a disclosing term are read again.
 
 Defined results for odd rows: null text is empty; repeated rows give repeated results;
-documents without personal data keep their text; an entity found in every document has
-IC 0 and no term discloses it; columns besides doc_id and text are ignored.
+documents without personal data keep their text; an entity found in every text has
+IC 0 and no term discloses it; columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import joined, materialise, spans, tagged
+from gridloom.llm._shared import joined, materialise, spans, tagged, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -34,9 +42,6 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{4,}+"
 
-#: Code points and terms on either side of an entity that make its context.
-REACH, NEAR = 160, 5
-
 
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
@@ -70,118 +75,114 @@ def base_spans(docs: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__base", F.concat(*[tagged(f"__{k}", k) for k in KINDS])).drop(*[f"__{k}" for k in KINDS])
 
 
-def _near_terms(mentions: DataFrame) -> DataFrame:
-    """One row for each term near a mention: key columns, entity, term, position, context."""
-    left_from = F.greatest(F.col("m.s") - REACH, F.lit(0))
-    df = mentions.withColumn("__left", F.substring("__text", left_from + 1, F.col("m.s") - left_from))
-    df = df.withColumn("__right", F.substring("__text", F.col("m.e") + 1, F.lit(REACH)))
-    df = df.withColumn("__at", left_from).drop("__text")
-    df = spans(df, "__l", "__left", TERM, F.lit(True))
-    df = spans(df, "__r", "__right", TERM, F.lit(True))
-    # a term that the window's edge may have cut is none
-    whole_l = F.filter("__l", lambda x: (x["s"] > 0) | (F.col("__at") == 0))
-    whole_r = F.filter("__r", lambda x: x["e"] < REACH)
-    left = F.transform(F.slice(F.reverse(whole_l), 1, NEAR), lambda x: F.struct(F.lower(x["v"]).alias("term"), (x["s"] + F.col("__at")).alias("s"), (x["e"] + F.col("__at")).alias("e")))
-    right = F.transform(F.slice(whole_r, 1, NEAR), lambda x: F.struct(F.lower(x["v"]).alias("term"), (x["s"] + F.col("m.e")).alias("s"), (x["e"] + F.col("m.e")).alias("e")))
-    free = F.filter(F.concat(left, right), lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    return df.select(
-        "doc_id", "__key",
-        F.concat_ws(":", "m.kind", F.lower("m.v")).alias("entity"),
-        F.xxhash64("__left", "__right").alias("ctx"),
-        F.explode(free).alias("t"),
-    ).select("doc_id", "__key", "entity", "ctx", "t.*")
-
-
-def _term_documents(docs: DataFrame) -> DataFrame:
-    """Documents that hold each term, over the whole corpus: tasks count their own terms first, so
-    what is shuffled and joined is vocabularies, not occurrences."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("df_t"))
-
-
-def disclosing(docs: DataFrame, found: DataFrame, *, support: int, generalise_at: float) -> tuple[DataFrame, DataFrame] | None:
-    """(near-term rows, (entity, term, disclosure) at or over the lower threshold); None if no term has support.
-
-    docs: __text. found: doc_id, __key, __text, __base of documents with an entity.
-    """
-    near = materialise(_near_terms(found.withColumn("m", F.explode("__base"))), "pii-near")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("n_ctx"), F.count_distinct("doc_id", "__key").alias("co"))
-    pairs = materialise(pairs.where(F.col("n_ctx") >= support), "pii-pairs")
-    if not pairs.limit(1).count():
-        return None
-    df_t = _term_documents(docs)
-    df_e = found.select("doc_id", "__key", F.explode(F.array_distinct(F.transform("__base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["v"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    n = docs.count()
+def _entities(base: Column) -> Column:
+    """Distinct entities of a text: each value, and the class it belongs to."""
+
+    def of(x: Column) -> Column:
+        v = F.lower(x["v"])
+        part = (
+            F.when(x["kind"] == "email", F.regexp_extract(v, "@(.*)$", 1))
+            .when(x["kind"] == "ip", F.regexp_extract(v, r"^(.*)\.", 1))
+            .when(x["kind"] == "card", F.substring(_digits(v), 1, 6))
+            .otherwise(F.substring(_digits(v), 1, 4))
+        )
+        return F.array(F.concat_ws(":", x["kind"], v), F.concat_ws("/", x["kind"], part))
+
+    return F.array_distinct(F.flatten(F.transform(base, of)))
+
+
+def _scan(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """A row per row of docs: r (its columns `carry`), text_hash, base, terms (hashes), and text where base is not empty."""
+    rows = docs.select(F.struct(*carry).alias("r"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = base_spans(rows, "text").withColumnRenamed("__base", "base")
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(F.lower(x))))
+    return materialise(rows.select("r", text_key(F.col("text")).alias("text_hash"), "base", terms.alias("terms"), F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-scan")
+
+
+def disclosing(scanned: DataFrame, *, support: int, evidence: float, generalise_at: float) -> DataFrame:
+    """text_hash, term (hash), disclosure: what each text with an entity holds that gives one of its entities away."""
+    texts = materialise(scanned.groupBy("text_hash").agg(F.first(_entities(F.col("base"))).alias("entities"), F.first("terms").alias("terms")), "pii-texts")
+    n = texts.count()
+    mentions = texts.where(F.size("entities") > 0).select("text_hash", F.explode("entities").alias("entity"))
+    df_e = mentions.groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= support)
+    live = mentions.join(df_e, "entity")
+    met = live.join(texts.where(F.size("entities") > 0).select("text_hash", "terms"), "text_hash").select("text_hash", "entity", "df_e", F.explode("terms").alias("term"))
+    met = materialise(met, "pii-met")
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("co"), F.first("df_e").alias("df_e")).where(F.col("co") >= support)
+    # terms are counted before they meet the pairs: vocabularies are joined, not occurrences
+    df_t = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     info = F.log2(F.lit(float(n)) / F.col("df_e"))
-    pmi = F.log2(F.col("co") * F.lit(float(n)) / (F.col("df_e") * F.greatest("df_t", "co")))
-    scored = pairs.join(df_t, "term").join(df_e, "entity").where(info > 0).withColumn("disclosure", pmi / info)
-    return near, scored.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure")
-
-
-def find(docs: DataFrame, *, support: int = 3, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
-    """One row per row of docs: doc_id, __key (of the text), __base, and __more: disclosing terms
-    as struct(kind: remove or generalise, s, e, v) by start."""
-    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
-    based = base_spans(src, "__text").withColumn("__key", F.xxhash64("__text"))
-    found = materialise(based.where(F.size("__base") > 0), "pii-found")
-    rows = src.withColumn("__key", F.xxhash64("__text")).select("doc_id", "__key")
-    per_doc = found.select("doc_id", "__key", "__base").dropDuplicates(["doc_id", "__key"])
-    got = disclosing(src, found, support=support, generalise_at=generalise_at)
-    empty = F.array().cast("array<struct<kind:string,s:int,e:int,v:string>>")
-    if got is None:
-        per_doc = per_doc.withColumn("__more", empty)
-    else:
-        near, flagged = got
-        hit = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "__key", "s", "e", F.col("term").alias("v")).agg(F.max("disclosure").alias("d"))
-        one = F.struct(F.col("s"), F.col("e"), F.when(F.col("d") >= remove_at, "remove").otherwise("generalise").alias("kind"), F.col("v"))
-        more = hit.groupBy("doc_id", "__key").agg(F.array_sort(F.collect_list(one)).alias("__x"))
-        more = more.select(F.col("doc_id").alias("__d"), F.col("__key").alias("__k"), F.transform("__x", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))).alias("__more"))
-        same = per_doc["doc_id"].eqNullSafe(more["__d"]) & (per_doc["__key"] == more["__k"])
-        per_doc = per_doc.join(more, same, "left").drop("__d", "__k").withColumn("__more", F.coalesce("__more", empty))
-    right = per_doc.select(F.col("doc_id").alias("__d"), F.col("__key").alias("__k"), "__base", "__more")
-    same = rows["doc_id"].eqNullSafe(right["__d"]) & (rows["__key"] == right["__k"])
-    out = rows.join(right, same, "left").drop("__d", "__k")
-    return out.withColumn("__base", F.coalesce("__base", empty)).withColumn("__more", F.coalesce("__more", empty))
+    pmi = F.log2(F.col("co") * F.lit(float(n)) / (F.col("df_e") * F.col("df_t")))
+    flagged = pairs.join(df_t, "term").where((info > 0) & (F.col("co") * pmi >= evidence * F.lit(math.log2(max(n, 1))))).withColumn("disclosure", pmi / info)
+    flagged = flagged.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure")
+    return met.join(flagged, ["entity", "term"]).groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+_NONE = "array<struct<kind:string,s:int,e:int,v:string>>"
+
+
+def _found(docs: DataFrame, carry: list[str], *, support: int = 2, evidence: float = 1.5, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
+    """One row per row of docs: r (its columns `carry`), base, and more: disclosing terms as
+    struct(kind: generalise or remove, s, e, v) by kind, then start."""
+    scanned = _scan(docs, carry)
+    told = disclosing(scanned, support=support, evidence=evidence, generalise_at=generalise_at)
+    told = told.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    personal = scanned.where(F.size("base") > 0)
+    read = spans(personal.groupBy("text_hash").agg(F.first("text").alias("text"), F.first("base").alias("base")).join(told, "text_hash"), "words", "text", TERM, F.lit(True))
+    marked = F.transform("words", lambda x: F.struct(F.try_element_at("told", F.xxhash64(F.lower(x["v"]))).alias("d"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+    marked = F.filter(marked, lambda x: x["d"].isNotNull() & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    kinds = F.transform(marked, lambda x: F.struct(F.when(x["d"] >= remove_at, "remove").otherwise("generalise").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+    more = read.select(F.col("text_hash").alias("h"), F.array_sort(kinds).alias("more"))
+    none = F.array().cast(_NONE)
+    # rows without personal data, most of the table, meet nothing
+    met = personal.join(more, F.col("text_hash") == F.col("h"), "left").select("r", "base", F.coalesce("more", none).alias("more"))
+    return met.unionByName(scanned.where(F.size("base") == 0).select("r", "base", none.alias("more")))
+
+
+def find(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: doc_id, base and more, arrays of struct(kind, s, e, v) by kind, then start."""
+    return _found(docs, ["doc_id"], **options).select("r.doc_id", "base", "more")
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with personal data in `text` replaced by <KIND>, disclosing terms removed or replaced
-    by <TERM>; every other column and row stays, null text stays null."""
-    found = find(docs, **options).where(F.size("__base") > 0).dropDuplicates(["doc_id", "__key"])
-    marks = F.array_sort(F.transform(F.concat("__base", "__more"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    found = found.select(F.col("doc_id").alias("__d"), F.col("__key").alias("__k"), marks.alias("__marks"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(found["__d"]) & (keyed["__key"] == found["__k"])
-    both = keyed.join(found, same, "left").drop("__d", "__k", "__key")
+    by the kind of word they are; every other column and row stays, null text stays null."""
+    found = _found(docs, docs.columns, **options)
+    marks = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["v"].alias("v"))))
     # overlapping spans melt into one that bears the first one's kind
-    none = F.array().cast("array<struct<s:int,e:int,kind:string>>")
+    none = F.array().cast("array<struct<s:int,e:int,kind:string,v:string>>")
 
     def melt(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), last["kind"].alias("kind"))))
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(last.withField("e", F.greatest(last["e"], x["e"]))))
         return F.when(F.size(acc) == 0, F.array(x)).when(x["s"] < last["e"], grown).otherwise(F.concat(acc, F.array(x)))
 
-    both = both.withColumn("__marks", F.aggregate(F.coalesce("__marks", none), none, melt))
-    word = lambda k: F.when(k == "remove", "").when(k == "generalise", "<TERM>").otherwise(F.concat(F.lit("<"), F.upper(k), F.lit(">")))
+    both = found.select("r", F.col("r.text").alias("text"), F.aggregate(marks, none, melt).alias("marks"))
+
+    def word(x: Column) -> Column:
+        shape = F.when(x["v"].rlike(r"^\p{Lu}+$"), "<ACRONYM>").when(x["v"].rlike(r"^\p{Lu}"), "<NAME>").otherwise("<TERM>")
+        return F.when(x["kind"] == "remove", "").when(x["kind"] == "generalise", shape).otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
 
     def piece(x: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("__marks", F.greatest(i, F.lit(1)))["e"])
-        return F.concat(F.substring("text", before + 1, x["s"] - before), word(x["kind"]))
+        before = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("marks", F.greatest(i, F.lit(1)))["e"])
+        return F.concat(F.substring("text", before + 1, x["s"] - before), word(x))
 
-    tail = F.substring("text", F.try_element_at("__marks", F.lit(-1))["e"] + 1, F.length("text"))
-    fresh = F.when(F.size("__marks") > 0, F.concat(F.array_join(F.transform("__marks", piece), ""), tail)).otherwise(F.col("text"))
-    both = both.withColumn("text", fresh).drop("__marks")
-    return both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else both
+    tail = F.substring("text", F.try_element_at("marks", F.lit(-1))["e"] + 1, F.length("text"))
+    fresh = F.when(F.size("marks") > 0, F.concat(F.array_join(F.transform("marks", piece), ""), tail)).otherwise(F.col("text"))
+    row = F.col("r").withField("text", fresh)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.size("marks") > 0, F.length(fresh)).otherwise(F.col("r.n_chars")).cast(docs.schema["n_chars"].dataType))
+    return both.select(row.alias("r")).select("r.*")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """The contract's digest of `find`."""
     found = find(docs, **options)
-    count = lambda k: F.size(F.filter("__base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    base = joined(F.col("__base"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = joined(F.col("base"))
     return found.select(
         "doc_id", *[count(k) for k in KINDS],
         F.sha2(base, 256).alias("base_sha256"),
-        joined(F.concat("__base", "__more")).alias("spans"),
-        F.size("__more").cast("long").alias("n_terms"),
+        joined(F.concat("base", "more")).alias("spans"),
+        F.size("more").cast("long").alias("n_terms"),
     )

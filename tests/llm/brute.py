@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import regex
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -34,6 +35,41 @@ def pii(text):
     return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m[0])]
 
 
+TERM = regex.compile(r"\p{L}{4,}+")
+
+
+def entities(text):
+    out = set()
+    for k, s, e in pii(text):
+        v = text[s:e].lower()
+        d = re.sub("[^0-9]", "", v)
+        part = {"email": v[v.find("@") + 1 :], "ip": v.rpartition(".")[0], "card": d[:6], "phone": d[:4]}[k]
+        out |= {f"{k}:{v}", f"{k}/{part}"}
+    return out
+
+
+def disclosing(texts, support=2, evidence=1.5, generalise_at=0.7, remove_at=0.9):
+    """{text: [(kind, start, end)]} of disclosing terms, by counts over distinct texts."""
+    terms = {t: {m[0].lower() for m in TERM.finditer(t)} for t in texts}
+    ents = {t: entities(t) for t in texts}
+    df_t, df_e = Counter(w for x in terms.values() for w in x), Counter(e for x in ents.values() for e in x)
+    co = Counter((e, w) for t in texts for e in ents[t] for w in terms[t])
+    told = {}
+    for (e, w), c in co.items():
+        info, pmi = math.log2(len(texts) / df_e[e]), math.log2(c * len(texts) / (df_e[e] * df_t[w]))
+        if c >= support and info > 0 and c * pmi >= evidence * math.log2(len(texts)) and pmi / info >= generalise_at:
+            told[e, w] = pmi / info
+    out = {}
+    for t in texts:
+        base, got = pii(t), []
+        for m in TERM.finditer(t):
+            d = max((told.get((e, m[0].lower()), 0) for e in ents[t]), default=0)
+            if d and not any(s < m.end() and e > m.start() for _, s, e in base):
+                got.append(("remove" if d >= remove_at else "generalise", m.start(), m.end()))
+        out[t] = sorted(got)
+    return out
+
+
 def secrets(text):
     text = text or ""
     ci = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)

@@ -77,6 +77,26 @@ def test_pii_terms(spark):
     assert text[100] == far[0][1]
 
 
+def test_pii_against_plain_counts(spark, docs, rows):
+    """All spans, terms included, equal those of counts over whole texts; a term far from its entity goes too."""
+    filler = " ".join(f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    extra = [(40_000 + i, f"Quixotic Bartholomew wrote. {filler} mail amy.z{i % 2}@tiny.example then ends QUIXOTIC", "s") for i in range(5)]
+    extra += [(40_100 + i, f"host 10.20.30.{i} runs gargantua and more", None) for i in range(4)] + [(40_200, extra[0][1], "s"), (None, extra[1][1], "s")]
+    extra += [(41_000 + i, f"{filler} of number {i}", "s") for i in range(120)]  # so the filler is no rare word
+    more = spark.createDataFrame([(d, t, "en", s, 1, 1.0, "b", "w", 3) for d, t, s in extra], SCHEMA)
+    every = docs.unionByName(more).withColumn("terms", F.lit("x")).withColumn("r", F.lit(1))
+    texts = {t or "" for _, t, *_ in rows} | {t for _, t, _ in extra}
+    for options in ({}, {"support": 3, "evidence": 0.4, "generalise_at": 0.4, "remove_at": 0.8}):
+        want = brute.disclosing(texts, **options)
+        got = by_id(pii.report(every, **options))
+        for d, t, *_ in rows + extra:
+            assert {r["spans"] for r in got[d] if d is not None} <= {brute.digest(brute.pii(t) + want[t or ""])}, (d, t[:80])
+        assert {r["spans"] for r in got[None]} == {brute.digest(brute.pii(extra[1][1]) + want[extra[1][1]])}
+    assert sum(map(len, brute.disclosing(texts).values())) >= 15
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(every).collect()}
+    assert all("artholomew" not in clean[40_000 + i] and "QUIXOTIC" not in clean[40_000 + i] and "fillerab" in clean[40_000 + i] for i in range(5))
+
+
 def test_sanitise(docs, rows):
     got = pii.sanitise(docs)
     assert got.columns == docs.columns
@@ -102,12 +122,28 @@ def test_secrets(docs, rows):
 
 
 def test_secrets_markov(spark, docs):
-    samples = secret_scan.random_strings(spark, 500).unionByName(secret_scan.identifiers(docs, 200))
-    table = secret_scan.train(samples)
-    words = ["Zq8xK2mPw9Lr4Tn7Bv1Y", "get_document_count_v2", "thereforehappening1", "9fQ2zX7kJ1pW8vB3nM6c"]
-    df = spark.createDataFrame([(i, f"see {w} here") for i, w in enumerate(words)], "doc_id long, text string")
-    got = {r["doc_id"]: len(r["__more"]) for r in secret_scan.find(df, table).collect()}
-    assert got == {0: 1, 1: 0, 2: 0, 3: 1}
+    """Recall of random strings of every spelling that no pattern finds, and precision on identifiers, both unseen in training."""
+    table, least = secret_scan.fit(secret_scan.samples(docs, 1500, 200))
+    assert least >= math.log(1e4)
+    words = ["Zq8xK2mPw9Lr4Tn7Bv1Y", "get_document_count_v2", "thereforehappening1", "9fQ2zX7kJ1pW8vB3nM6c", "qzxkvjwpbgqxzkjvwqhf", "thehousingoftheothers", "x" * 15]
+    fixed = spark.createDataFrame([(i, f"see {w} here") for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r["doc_id"]: len(r["more"]) for r in secret_scan.find(fixed, table, least).collect()}
+    assert got == {0: 1, 1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0}
+    unseen = secret_scan.random_strings(spark, 400, seed="unseen").where("label <> 3 and length(text) >= 20")
+    rows = unseen.select(F.xxhash64("text").alias("doc_id"), F.concat(F.lit("set it to "), "text", F.lit(" now")).alias("text"), "label")
+    hits = {r["label"]: r["share"] for r in secret_scan.find(rows, table, least).join(rows, "doc_id").groupBy("label").agg(F.avg((F.size("more") == 1).cast("int")).alias("share")).collect()}
+    assert all(hits[k] > 0.95 for k in (1, 2, 4)) and hits[5] > 0.8, hits
+    plain = secret_scan.find(docs, table, least).select(F.explode("more").alias("m")).select("m.v").collect()
+    assert len(plain) <= 6, plain  # the odd rows hold a few
+
+
+def test_secrets_cover(spark):
+    """A token that a base span covers in part is still scored; one that it covers whole is not."""
+    table = [1.0] * (secret_scan.SPELLINGS * secret_scan.SIZE**2)
+    hexes = "0123456789abcdef01234567"
+    df = spark.createDataFrame([(1, f"{hexes}"), (2, f"{hexes}QWERTYUIOPASDFGH"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: ([b["kind"] for b in r["base"]], [(m["s"], m["e"]) for m in r["more"]]) for r in secret_scan.find(df, table, 1.0).collect()}
+    assert got == {1: (["hex"], []), 2: (["hex"], [(0, 40)]), 3: ([], [])}
 
 
 def test_quality(docs, rows):
@@ -220,13 +256,35 @@ def test_slots_are_dealt_once(spark):
         assert max(c.values(), default=0) - min([c.get(i, 0) for i in range(s.blocks)] or [0]) <= 1
 
 
+def test_multinomial_draws(spark):
+    """Shards' source counts have the mean and the variance of multinomial draws; few slots change hands to meet the totals."""
+    plan = mixing.plan([("a", 400_000), ("b", 300_000), ("c", 200_000)], block=16)
+    got = mixing.slots(spark, plan, block=16, per_shard=256).toPandas()
+    n = sum(s.slots for s in plan)
+    table = got.groupby(["shard", "drawn"]).size().unstack(fill_value=0).iloc[:-1]
+    for s in plan:
+        p = s.slots / n
+        c = table[s.sid]
+        assert abs(c.mean() - 256 * p) < 4 * math.sqrt(256 * p * (1 - p) / len(c)) and 0.7 < c.var() / (256 * p * (1 - p)) < 1.4
+        assert (got.sid == s.sid).sum() == s.slots
+    assert (got.drawn != got.sid).sum() < 4 * math.sqrt(n) * len(plan)
+    assert len({(r.sid, r.idx) for r in got.itertuples()}) == sum(min(s.slots, s.blocks) for s in plan)
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    df = spark.createDataFrame([(i, "a b c", str(i)) for i in range(3)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="3 sources"):
+        mixing.report(df)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     data = [(i, [float(x) for x in rng.normal(size=8).astype("float32")]) for i in range(400)]
     data += [(400, data[7][1]), (450, data[7][1]), (401, None), (402, [1.0, None] + [0.0] * 6), (403, [float("nan")] * 8), (404, [float("inf")] * 8), (None, [1.0] * 8), (405, []), (406, [3.0]), (407, data[3][1]), (407, data[3][1])]
     df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in data], "vec_id long, embedding array<double>, label int, score double")
     got = topk_search.top_k(df, span=100, queries=3).collect()
-    clean = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    clean = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for q in {i for i, _ in clean if i % 50 == 0}:
         qv = next(v for i, v in clean if i == q)
         want = sorted((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in clean if i != q)[:5]
@@ -238,7 +296,33 @@ def test_topk(spark):
 def test_topk_large_values():
     big = np.array([[2.0**40, -1.0], [2.0**30, 5.0], [1.0, 1.0]])
     got = topk_search.search_block(np.array([0]), big[:1], np.arange(3), big, 5)
-    assert [int(x) for x in got[2]] == [2**70 - 5, 2**40 - 1]
+    assert [int(x) for x in got[2]] == [2**63 - 1, 2**40 - 1]  # beyond 64 bits: the nearest
+
+
+def test_topk_values_beyond_64_bits(spark):
+    """Any finite component is quantised exactly; what is beyond 64 bits counts as the nearest 64-bit integer."""
+    data = [(0, [1e307, 1.0]), (50, [1e200, -1.0]), (1, [1e307, 2.0]), (2, [-1e307, 0.5]), (3, [0.0, 3.0]), (4, [1e-300, -0.001]), (5, [])]
+    got = topk_search.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), span=3, queries=1).collect()
+    whole = {i: [int(x) * 256 if abs(x) > 2**60 else math.floor(256 * x) for x in v] for i, v in data}
+    for q in (0, 50):
+        near = lambda i, q=q: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i], strict=False))))
+        want = sorted((-near(i), i) for i in whole if i != q)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
+def test_topk_prunes_like_vectors():
+    """Where vectors come in clusters, most blocks are never scored; the result stays exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(64, 32))
+    c = np.floor(256 * (centres[rng.integers(0, 64, 4096)] + 0.1 * rng.normal(size=(4096, 32))))
+    q, ids = c[:40], np.arange(4096)
+    sample = rng.choice(4096, 512, replace=False)
+    floor = np.sort(np.where(ids[:40, None] == sample[None, :], -(10**9), q @ c[sample].T), axis=1)[:, -5]
+    got = topk_search.search_block(ids[:40], q, ids, c, 5, floor=floor)
+    assert got[3][0] < 0.1 * got[3][1], got[3]
+    for i in range(40):
+        want = sorted((-int(s), j) for j, s in enumerate(c @ q[i]) if j != i)[:5]
+        assert sorted((-int(s), j) for a, j, s in zip(*got[:3], strict=True) if a == i)[:5] == want
 
 
 def test_langid(docs, rows):
@@ -336,6 +420,20 @@ def test_tree_of_merges(spark):
         assert g.offset.tolist() == [0, *(g.offset + g.length).tolist()[:-1]]
 
 
+def test_packing_many_groups(spark):
+    """At 25 groups and more, packing stays near the lower bound: underfull bins climb and merge."""
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(1024, rng.lognormal(5.3, 0.8, 4000).astype(int) + 2)
+    pieces = spark.createDataFrame([(i, i, 0, 0, int(n), 1) for i, n in enumerate(lengths)], "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    best = -(-int(lengths.sum()) // 1024)
+    counts = {}
+    for group in (40, 160, 4000):
+        got = packing.pack(pieces, group=group).toPandas()
+        assert len(got) == len(lengths) and (got.groupby("sequence_id").length.sum() <= 1024).all()
+        counts[group] = got.sequence_id.nunique()
+    assert counts[4000] <= 1.01 * best + 1 and counts[160] <= 1.02 * best + 1 and counts[40] <= 1.05 * best + 1, (counts, best)
+
+
 def test_ctw_base(docs, rows):
     alone = [(d, t) for d, t, *_ in rows if d != 20_000]
     want = brute.unigram(alone)
