@@ -28,10 +28,12 @@ and learnt separately; with nothing to learn from, the base score counts each to
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,24 +57,30 @@ def normalised(text: str | None) -> tuple[bytes, int]:
     return b"".join((b" ".join(words), b" " if words else b"", END_MARK)), len(words) + 1
 
 
-def grams_of(texts: list[bytes], window: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text of each byte, its gram), some positions at a time. A gram: bytes before, nearest highest, then the byte itself."""
+def grams_of(texts: list[bytes], window: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(grams of consecutive bytes, where each text begins among them, number of the first of these
+    texts), some positions at a time. A gram: bytes before, nearest highest, then the byte itself."""
     window = window or WINDOW
     pad = END_MARK * DEPTH
-    a = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
+    a = np.frombuffer(pad + b"".join(x for t in texts for x in (pad, t)), np.uint8)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    begin = np.cumsum(lens + DEPTH) - lens  # first byte of each text
+    ends = np.cumsum(lens)
     real = np.ones(len(a), bool)
-    for k in range(1, DEPTH + 1):
-        real[begin - k] = False
-    for lo in range(0, len(a), window):
-        at = lo + np.flatnonzero(real[lo : lo + window])
-        if not len(at):
-            continue
-        g = a[at].astype(np.int64)
+    real[:DEPTH] = False
+    for k in range(DEPTH):
+        real[DEPTH + ends - lens + DEPTH * np.arange(len(texts)) + k] = False
+    done = 0  # bytes of texts so far
+    for lo in range(DEPTH, len(a), window):
+        hi = min(lo + window, len(a))
+        g = a[lo:hi].astype(np.int64)
         for k in range(1, DEPTH + 1):
-            g |= a[at - k].astype(np.int64) << np.int64(8 * (DEPTH - k + 1))
-        yield np.searchsorted(begin, at, side="right") - 1, g
+            g |= a[lo - k : hi - k].astype(np.int64) << np.int64(8 * (DEPTH - k + 1))
+        g = g[real[lo:hi]]
+        if len(g):
+            first = int(np.searchsorted(ends, done, side="right"))
+            last = int(np.searchsorted(ends, done + len(g), side="left")) + 1
+            yield g, np.maximum(ends[first:last] - lens[first:last] - done, 0), first
+            done += len(g)
 
 
 def gram_part(g: np.ndarray, parts: int) -> np.ndarray:
@@ -129,7 +137,7 @@ class _Contents:
     """The distinct words and grams of some texts, with their counts in those that train."""
 
     def __init__(self):
-        self.counts: dict[bytes, int] = {}
+        self.counts: Counter[bytes] = Counter()
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, texts: list[bytes], trains: list[bool]) -> None:
@@ -138,13 +146,12 @@ class _Contents:
             words = t[:-1].split()
             words.append(b"")  # the end mark
             if train:
-                for w in words:
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update(words)
             else:
                 for w in words:
                     counts.setdefault(w, 0)
         for some, train in (([t for t, x in zip(texts, trains, strict=True) if x], 1), ([t for t, x in zip(texts, trains, strict=True) if not x], 0)):
-            for _, g in grams_of(some) if some else ():
+            for g, *_ in grams_of(some) if some else ():
                 u, n = np.unique(g, return_counts=True)
                 self.held.append((u, n * train))
         if sum(len(k) for k, _ in self.held) > 4_000_000:
@@ -396,33 +403,48 @@ def _scores(id_type: pa.DataType, parts: int, total: int, distinct: int):
             texts = pack.to_texts(data.as_py())
             inside.add(texts, [True] * len(texts))
         replies = {(k, p): d for k, p, d in zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("data"), strict=True)}
-        count: dict[bytes, int] = {}
+        log: dict[bytes, float] = {}
         for p, words in inside.words(parts):
-            count.update(zip(words, pack.to_numbers(replies[WORDS, p].as_py()).tolist(), strict=True))
+            c = pack.to_numbers(replies[WORDS, p].as_py())
+            log.update(zip(words, np.log10((c + 0.1) / low).tolist(), strict=True))
+        unknown = float(np.log10(0.1 / low))
         keys, lps = [], []
         for p, g, _ in inside.grams(parts):
             keys.append(g)
             lps.append(pack.to_numbers(replies[GRAMS, p].as_py(), "<f8"))
-        keys, lps = np.concatenate(keys), np.concatenate(lps)
-        order = np.argsort(keys)
-        keys, lps = keys[order], lps[order] * np.log10(2.0)
+        keys, lps = pa.array(np.concatenate(keys)), np.concatenate(lps) * np.log10(2.0)
         inside, replies = None, None
         out: tuple[list, ...] = ([], [], [], [], [], [])
+        waiting: list[bytes] = []
+
+        def scored() -> None:
+            score = np.zeros(len(waiting))
+            for g, begin, first in grams_of(waiting, 3 * WINDOW):
+                # a hash lookup in the block's distinct grams
+                lp = lps[pc.index_in(pa.array(g), value_set=keys).to_numpy()]
+                score[first : first + len(begin)] += np.add.reduceat(lp, begin)
+            out[5].extend(np.round(score, 9).tolist())
+            waiting.clear()
+
+        size = 0
         for ids, held, data in zip(left.column("ids"), left.column("held"), left.column("keys"), strict=True):
             texts = pack.to_texts(data.as_py())
-            score = np.zeros(len(texts))
-            for which, g in grams_of(texts):
-                score += np.bincount(which, lps[np.searchsorted(keys, g)], len(texts))
             out[0].extend(ids.as_py())
             out[1].extend(held.as_py())
             for t in texts:
                 words = t[:-1].split()
                 words.append(b"")
-                c = np.fromiter(map(count.__getitem__, words), np.float64, len(words))
+                base = np.fromiter(map(log.__getitem__, words), np.float64, len(words))
                 out[2].append(len(words))
-                out[3].append(int(np.count_nonzero(c)))
-                out[4].append(round(float(np.log10((c + 0.1) / low).sum()), 9))
-            out[5].extend(np.round(score, 9).tolist())
+                out[3].append(len(words) - int(np.count_nonzero(base == unknown)))
+                out[4].append(round(float(base.sum()), 9))
+            waiting += texts
+            size += sum(map(len, texts))
+            if size >= 3 * WINDOW:
+                scored()
+                size = 0
+        if waiting:
+            scored()
         return pa.table({
             "doc_id": pa.array(out[0], id_type), "held_out": pa.array(out[1], pa.bool_()), "n_tokens": pa.array(out[2], pa.int64()),
             "n_known": pa.array(out[3], pa.int64()), "train_tokens": pa.array(np.full(len(out[0]), total, np.int64)),
