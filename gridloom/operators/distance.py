@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,9 +14,16 @@ from gridloom.operators.stencil import Kernel, disc, scatter
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and read it back: it cuts lineage and outlives executors."""
+    """Write df to the folder in spark.checkpoint.dir and read it back: it cuts lineage and outlives executors.
+
+    Only a local session may leave the folder unset: its executors are the driver.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -34,9 +43,9 @@ def near(df: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
 def transform(df: DataFrame, seeds: DataFrame) -> DataFrame:
     """Dense df with d2, the squared distance to the nearest seed anywhere; null if there is no seed.
 
-    Two passes: the nearest seed in the own column by windows, then the lower envelope along
-    the row. A row meets itself only where columns have a seed, and only within the bound that the
-    own column gives; so the join is by row, never by pairs of the whole grid.
+    Two passes: the nearest seed in the own column by windows, then along each row, on its own,
+    by steps to either side until no step can be shorter. Work and memory of a row follow its width
+    and its largest distance; no row meets itself in a join.
     """
     s = seeds.select("y", "x").distinct().withColumn("__seed", F.lit(True))
     g = df.select("y", "x").join(s, ["y", "x"], "left")
@@ -45,14 +54,25 @@ def transform(df: DataFrame, seeds: DataFrame) -> DataFrame:
     y = F.when(F.col("__seed"), F.col("y"))
     up = F.col("y") - F.last(y, ignorenulls=True).over(back)
     down = F.first(y, ignorenulls=True).over(ahead) - F.col("y")
-    g = g.withColumn("__g", F.least(up, down)).select("y", "x", "__g")
-    other = g.where(F.col("__g").isNotNull()).select(F.col("y").alias("__y"), F.col("x").alias("__x"), F.col("__g").alias("__h"))
-    gap = F.col("x") - F.col("__x")
-    pair = g.join(other, (F.col("y") == F.col("__y")) & (F.col("__g").isNull() | (F.abs(gap) <= F.col("__g"))))
-    best = pair.groupBy("y", "x").agg(F.min(gap * gap + F.col("__h") * F.col("__h")).alias("d2"))
+    own = g.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.least(up, down).cast("double").alias("g"))
+    best = own.groupBy("y").applyInArrow(_along_row, "y long, x long, d2 double").where("d2 IS NOT NULL").withColumn("d2", F.col("d2").cast("long"))
     return df.join(best, ["y", "x"], "left")
 
 
+def _along_row(table: pa.Table) -> pa.Table:
+    x, own = table.column("x").to_numpy(), table.column("g").to_numpy()
+    first = x.min()
+    g = np.full(x.max() - first + 1, np.inf)
+    g[x - first] = np.where(np.isnan(own), np.inf, own) ** 2
+    best, k = g.copy(), 1
+    while k < len(g) and k * k < best.max():
+        np.minimum(best[k:], g[:-k] + k * k, out=best[k:])
+        np.minimum(best[:-k], g[k:] + k * k, out=best[:-k])
+        k += 1
+    d2 = best[x - first]
+    return pa.table({"y": table.column("y"), "x": table.column("x"), "d2": pa.array(d2, mask=~np.isfinite(d2))})
+
+
 def nearest_fill(df: DataFrame, value: str, out: str, radius: int) -> DataFrame:
     """Null cells take the nearest valid value within radius; ties go to the least (d2, y, x) of the source."""
     src = df.where(F.col(value).isNotNull()).select("y", "x", F.col(value).alias("__v"), F.col("y").alias("__sy"), F.col("x").alias("__sx"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,33 +60,54 @@ def poisson(df: DataFrame, score: str, key: str, *, spacing: float = 3.0, k: int
         taken = fresh if taken is None else taken.unionByName(fresh)
         near = scatter(fresh.select("y", "x"), [*ring, (0, 0, 1.0)]).select("y", "x")
         left = written(left.join(near, ["y", "x"], "left_anti"))
+        if k is not None:
+            # what is undecided cannot come before the k-th of those taken that outrank all of it
+            best = left.agg(F.max(rank).alias("best")).first()["best"]
+            if best is None or taken.where((F.col("s") > best[0]) | ((F.col("s") == best[0]) & (-F.col("id") > best[1]))).count() >= k:
+                break
     out = taken if taken is not None else left
     return out.orderBy(F.desc("s"), "id").limit(k) if k is not None else out
 
 
-def cover(df: DataFrame, weight: str, key: str, *, k: int, radius: int = 3, spacing: float = 0.0) -> DataFrame:
-    """k dots by greedy kernel coverage: each adds sum w * max(0, kernel - covered so far).
+def cover(
+    df: DataFrame, weight: str, key: str, *, k: int, radius: int = 3, spacing: float = 0.0,
+    candidates: DataFrame | None = None, existing: DataFrame | None = None, cost: str | None = None, pool: int | None = None,
+) -> DataFrame:
+    """k dots by greedy kernel coverage: each adds sum w * max(0, kernel - covered so far), less its cost.
 
     A dot's gain depends only on dots nearer than twice the radius, so in each round every
     undecided cell whose gain is the largest within that reach is what the sequential greedy takes before
     any of its neighbours. The first k by recorded gain are its first k.
+
+    Dots come from `candidates` (y, x, the key, the weight; df if none is given), the `pool` best by weight if
+    one is set. `existing` dots cover from the start, and nothing nearer than spacing to them is taken. A
+    candidate that adds no coverage is never taken, one whose cost is above what it adds may be.
     """
     kern = triangular(radius)
     reach = _within(max(2 * radius, spacing))
     demand = written(df.select("y", "x", F.col(weight).alias("wt")))
-    left = written(df.select("y", "x", F.col(key).alias("id")))
+    some = df if candidates is None else candidates
+    if pool is not None:
+        some = some.orderBy(F.desc(weight), key).limit(pool)
+    fee = F.coalesce(F.col(cost), F.lit(0.0)) if cost else F.lit(0.0)
+    left = some.select("y", "x", F.col(key).alias("id"), fee.alias("fee"))
     done = demand.select("y", "x", F.lit(0.0).alias("c"))
+    if existing is not None:
+        given = scatter(existing.select("y", "x"), kern).groupBy("y", "x").agg(F.max("w").alias("g"))
+        done = written(done.join(given, ["y", "x"], "left").select("y", "x", F.greatest("c", F.coalesce("g", F.lit(0.0))).alias("c")))
+        if spacing:
+            left = left.join(scatter(existing.select("y", "x"), [*_within(spacing), (0, 0, 1.0)]).select("y", "x"), ["y", "x"], "left_anti")
+    left = written(left)
     taken = None
     while left.limit(1).count():
         field = demand.join(done, ["y", "x"]).withColumnsRenamed({"y": "ty", "x": "tx"})
         reachable = scatter(left.withColumnsRenamed({"y": "sy", "x": "sx"}).withColumn("y", F.col("sy")).withColumn("x", F.col("sx")), kern)
-        gain = reachable.join(field, (F.col("y") == F.col("ty")) & (F.col("x") == F.col("tx"))).groupBy("sy", "sx", "id").agg(F.round(F.sum(F.col("wt") * F.greatest(F.lit(0.0), F.col("w") - F.col("c"))), 9).alias("gain"))
-        live = written(gain.where("gain > 1e-9").select(F.col("sy").alias("y"), F.col("sx").alias("x"), "id", "gain"))
+        gain = reachable.join(field, (F.col("y") == F.col("ty")) & (F.col("x") == F.col("tx"))).groupBy("sy", "sx", "id", "fee").agg(F.round(F.sum(F.col("wt") * F.greatest(F.lit(0.0), F.col("w") - F.col("c"))), 9).alias("adds"))
+        live = written(gain.where("adds > 1e-9").select(F.col("sy").alias("y"), F.col("sx").alias("x"), "id", "fee", F.round(F.col("adds") - F.col("fee"), 9).alias("gain")))
         rank = F.struct(F.col("gain"), -F.col("id"))
         rival = scatter(live, reach).groupBy("y", "x").agg(F.max(rank).alias("best"))
         fresh = written(live.join(rival, ["y", "x"], "left").where(F.col("best").isNull() | (rank > F.col("best"))).drop("best"))
         taken = fresh if taken is None else taken.unionByName(fresh)
-        left = live.select("y", "x", "id").join(fresh.select("y", "x"), ["y", "x"], "left_anti")
         best = live.join(fresh.select("y", "x"), ["y", "x"], "left_anti").agg(F.max("gain")).first()[0]
         if best is None or taken.where(F.col("gain") > best).count() >= k:
             break
@@ -93,9 +116,40 @@ def cover(df: DataFrame, weight: str, key: str, *, k: int, radius: int = 3, spac
         gone = fresh.select("y", "x")
         if spacing:
             gone = gone.unionByName(scatter(fresh.select("y", "x"), _within(spacing)).select("y", "x"))
-        left = written(live.select("y", "x", "id").join(gone, ["y", "x"], "left_anti"))
+        left = written(live.select("y", "x", "id", "fee").join(gone, ["y", "x"], "left_anti"))
     out = taken if taken is not None else left.withColumn("gain", F.lit(0.0))
-    return out.orderBy(F.desc("gain"), "id").limit(k)
+    return out.orderBy(F.desc("gain"), "id").limit(k).drop("fee")
+
+
+def staged(df: DataFrame, key: str, stages: list[tuple[str, int]], *, spacing: float, candidates: DataFrame | None = None, cost: Callable[[DataFrame, str], Column] | None = None) -> DataFrame:
+    """Dots (y, x, id, gain, stage) of several coverage stages (weight, k), each on top of the dots before.
+
+    A stage that runs out of candidates leaves its rest to the next; the last one fills up
+    to the sum of all k. cost: a candidate's fee, from the candidates and the stage's weight.
+    """
+    budget, dots, n = sum(k for _, k in stages), None, 0
+    for i, (weight, k) in enumerate(stages):
+        want = budget - n if i == len(stages) - 1 else min(k, budget - n)
+        if want <= 0:
+            break
+        some = df if candidates is None else candidates
+        some = some.where(F.col(weight) > 0)
+        if cost is not None:
+            some = some.withColumn("fee_of", cost(some, weight))
+        got = written(cover(df, weight, key, k=want, spacing=spacing, candidates=some, existing=dots, cost="fee_of" if cost is not None else None).withColumn("stage", F.lit(i + 1)))
+        n += got.count()
+        dots = got if dots is None else dots.unionByName(got)
+    return dots
+
+
+def net_cost(mu: str, tau: float) -> Callable[[DataFrame, str], Column]:
+    """A dot's fee: tau times the stage's mean candidate weight, less where the kernel mean mu is high."""
+
+    def fee(some: DataFrame, weight: str) -> Column:
+        mean = some.agg(F.avg(weight)).first()[0] or 0.0
+        return F.lit(tau * max(mean, 1e-4)) * (1.0 - F.least(F.greatest(F.coalesce(F.col(mu), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+
+    return fee
 
 
 def geodesic_thin(mask: DataFrame, width: int, spacing: float) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions.scalar import clip, expit, hashed, logit, quantile01, robust_z
+from gridloom.functions.scalar import clip, expit, logit, quantile01, robust_z
 from gridloom.operators import emit, folds, metric, rules
 from gridloom.operators import similarity as sim
 from gridloom.operators import stencil as st
@@ -342,12 +342,6 @@ def m29_feed_covers_pins(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).join(f, "k", "left").select("k", n.alias("seen"), (n == 1).alias("once"))
 
 
-@query(f"WITH {GRID_SQL}, h AS (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), s AS (SELECT n_name, {_hash('43', 'n_name')} % 1000 AS draw, n FROM h) SELECT n_name, draw, n FROM s")
-def j03_hashed_rank(spark, sf):
-    h = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
-    return h.select("n_name", (hashed(F.lit(43), "n_name") % 1000).alias("draw"), "n")
-
-
 @query(f"WITH {GRID_SQL}, ns AS (SELECT a.cell_id, b.cell_id AS r, (a.v - b.v) / sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS s FROM fp a, range(-1, 2) p(i), range(-1, 2) q(j), fp b WHERE b.y = a.y + i AND b.x = a.x + j AND b.v < a.v), rc AS (SELECT cell_id, arg_max(r, (s, -r)) AS receiver FROM ns GROUP BY cell_id) SELECT receiver AS cell_id, count(*) AS donors FROM rc GROUP BY 1")
 def f09_drainage_donors(spark, sf):
     """Donors of each cell of the drainage forest."""

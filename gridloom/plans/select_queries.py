@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions.scalar import hashed
 from gridloom.operators import emit, similarity as sim
 from gridloom.operators.distance import apart, near
 from gridloom.operators.stencil import disc, scatter, triangular
@@ -188,12 +187,6 @@ def j06_kernel_cover(spark, sf):
     return emit.cover(fp.withColumn("one", F.lit(1.0)), "one", "cell_id", k=100).select("y", "x", "id", "gain")
 
 
-@query()
-def j09_submodular_allocate(spark, sf):
-    fp = footprint(spark, sf)
-    return emit.cover(fp.withColumn("wt", F.col("v") / 500000), "wt", "cell_id", k=60, spacing=2.5).select("y", "x", "id", "gain")
-
-
 @query(f"WITH {GRID_SQL}, k AS (SELECT a AS dy, b AS dx, 1 - sqrt(a*a + b*b) / 3 AS w FROM range(-2, 3) r(a), range(-2, 3) s(b)), d AS (SELECT cell_id, y, x FROM fp WHERE p = '2-HIGH' AND st = 'O') SELECT a.cell_id AS a, b.cell_id AS b, round(w, 6) AS w FROM d a, k, d b WHERE b.y = a.y + dy AND b.x = a.x + dx")
 def j07_neighbour_table(spark, sf):
     d = prediction(footprint(spark, sf)).select("y", "x", "cell_id")
@@ -404,8 +397,3 @@ def k04_near_far(spark, sf):
 def k05_balanced_matrix(spark, sf):
     fp = footprint(spark, sf, items=True).dropna(subset=["qty"]).withColumn("pos", F.col("p") == "1-URGENT")
     return emit.stratified(fp, "pos", "cell_id", 250, 19).select("cell_id", "pos")
-
-
-@query(f"WITH {GRID_SQL}, t AS (SELECT cell_id, {_hash('23', 'cell_id')} AS h FROM fp) SELECT count(*) AS n, min(h) AS lo, max(h) AS hi FROM t")
-def j21_hashed_draws(spark, sf):
-    return footprint(spark, sf).select(hashed(F.lit(23), "cell_id").alias("h")).agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))

@@ -96,11 +96,3 @@ def f12_factor_product(spark, sf):
     g = cells(spark, sf, items=True).where("qty IS NOT NULL")
     s = _expit((F.col("qty") - 100) / 50) * (1 - F.col("disc")) * F.when(F.col("v") > 100000, 1.0).otherwise(0.5)
     return _r(g.withColumn("s", clip(s, 0.05, 1.0)))
-
-
-@query(f"WITH {GRID_SQL}, r AS (SELECT cell_id, {_hash('41', 'cell_id')} % 1000 AS h, qty FROM g WHERE qty IS NOT NULL), q AS (SELECT CAST(floor(h / 100) AS BIGINT) AS tier, median(qty) AS mid FROM r GROUP BY 1) SELECT cell_id, round(qty - mid, 6) AS value FROM r JOIN q ON q.tier = CAST(floor(h / 100) AS BIGINT)")
-def k20_tier_affine(spark, sf):
-    """Values less their tier's median: statistics by tier, joined back."""
-    r = cells(spark, sf, items=True).where("qty IS NOT NULL").withColumn("tier", F.floor(hashed(F.lit(41), "cell_id") % 1000 / 100))
-    q = r.groupBy("tier").agg(F.median("qty").alias("mid"))
-    return _r(r.join(F.broadcast(q), "tier").withColumn("s", F.col("qty") - F.col("mid")))
