@@ -11,13 +11,13 @@ and co(e, t), all over whole texts,
 
 Terms at or over `remove_at` are removed, those at or over `generalise_at` are replaced by the
 kind of word they are (a name, an acronym, a term), wherever they stand in the documents that
-hold the entity. A pair counts only if it was seen in `support` different texts and stands
-out from chance: co * PMI, in bits, is at least `evidence` * log2(N), as more texts have more pairs
-that meet by chance. Copies of a text count once.
+hold the entity. A pair must stand out from chance: co * PMI, in bits, is at least `evidence` *
+log2(N), as more texts have more pairs that meet by chance. So an entity seen once is given away by
+terms that its one text alone has; one seen more often needs `support` texts with the term.
+Copies of a text count once.
 
-Plan: one scan finds the patterns and hashes each text's distinct terms; all counting goes over
-those hashes. Only documents with an entity that has support meet their terms, and only those
-with a disclosing term are read again.
+Plan: one scan finds the patterns and keeps the texts that match, another counts hashes of each
+distinct text's terms. Only texts with an entity that has support meet their terms.
 
 Defined results for odd rows: null text is empty; repeated rows give repeated results;
 documents without personal data keep their text; an entity found in every text has
@@ -30,6 +30,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm._shared import joined, materialise, spans, tagged, text_key
 
@@ -92,47 +93,69 @@ def _entities(base: Column) -> Column:
 
 
 def _scan(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """A row per row of docs: r (its columns `carry`), text_hash, base, terms (hashes), and text where base is not empty."""
+    """A row per row of docs: r (its columns `carry`), text_hash, base, and text where base is not empty."""
     rows = docs.select(F.struct(*carry).alias("r"), F.coalesce("text", F.lit("")).alias("text"))
     rows = base_spans(rows, "text").withColumnRenamed("__base", "base")
-    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(F.lower(x))))
-    return materialise(rows.select("r", text_key(F.col("text")).alias("text_hash"), "base", terms.alias("terms"), F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-scan")
-
-
-def disclosing(scanned: DataFrame, *, support: int, evidence: float, generalise_at: float) -> DataFrame:
-    """text_hash, term (hash), disclosure: what each text with an entity holds that gives one of its entities away."""
-    texts = materialise(scanned.groupBy("text_hash").agg(F.first(_entities(F.col("base"))).alias("entities"), F.first("terms").alias("terms")), "pii-texts")
-    n = texts.count()
-    mentions = texts.where(F.size("entities") > 0).select("text_hash", F.explode("entities").alias("entity"))
-    df_e = mentions.groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= support)
-    live = mentions.join(df_e, "entity")
-    met = live.join(texts.where(F.size("entities") > 0).select("text_hash", "terms"), "text_hash").select("text_hash", "entity", "df_e", F.explode("terms").alias("term"))
+    return materialise(rows.select("r", text_key(F.col("text")).alias("text_hash"), "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-scan")
+
+
+def _terms(text: Column) -> Column:
+    """Hashes of a text's distinct terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(F.lower(x))))
+
+
+def disclosing(docs: DataFrame, personal: DataFrame, n: int, *, support: int, evidence: float, generalise_at: float) -> DataFrame:
+    """text_hash, term (hash), disclosure: what each text with an entity holds that gives one of its entities away.
+
+    personal: text_hash, text, base of the distinct texts with an entity; n: distinct texts.
+    """
+    # each distinct text counts once; terms are counted before they meet the entities: vocabularies are joined, not occurrences
+    once = docs.select(text_key(F.col("text")).alias("text_hash"), _terms(F.coalesce("text", F.lit(""))).alias("terms")).groupBy("text_hash").agg(F.first("terms").alias("terms"))
+    df_t = materialise(once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_t")), "pii-terms")
+    held = personal.select("text_hash", _entities(F.col("base")).alias("entities"), _terms(F.col("text")).alias("terms"))
+    mentions = held.select("text_hash", F.explode("entities").alias("entity"))
+    df_e = mentions.groupBy("entity").agg(F.count("*").alias("df_e"), F.first("text_hash").alias("only"))
+    bits = math.log2(max(n, 1))
+
+    def over(co: Column, df_e: Column) -> tuple[Column, Column]:
+        info = F.log2(F.lit(float(n)) / df_e)
+        pmi = F.log2(co * F.lit(float(n)) / (df_e * F.col("df_t")))
+        return (info > 0) & (co * pmi >= evidence * bits - 1e-9) & (pmi / info >= generalise_at), (pmi / info).alias("disclosure")
+
+    # an entity seen once: its one text has all of its terms, each once
+    passes, disclosure = over(F.lit(1), F.lit(1))
+    alone = df_e.where("df_e = 1").select(F.col("only").alias("text_hash")).distinct()
+    of_one = held.join(alone, "text_hash", "left_semi").select("text_hash", F.explode("terms").alias("term")).join(df_t.where(passes), "term").select("text_hash", "term", disclosure)
+    # an entity seen more often
+    met = mentions.join(df_e.where("df_e > 1").select("entity", "df_e"), "entity").join(held.select("text_hash", "terms"), "text_hash").select("text_hash", "entity", "df_e", F.explode("terms").alias("term"))
     met = materialise(met, "pii-met")
     pairs = met.groupBy("entity", "term").agg(F.count("*").alias("co"), F.first("df_e").alias("df_e")).where(F.col("co") >= support)
-    # terms are counted before they meet the pairs: vocabularies are joined, not occurrences
-    df_t = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    info = F.log2(F.lit(float(n)) / F.col("df_e"))
-    pmi = F.log2(F.col("co") * F.lit(float(n)) / (F.col("df_e") * F.col("df_t")))
-    flagged = pairs.join(df_t, "term").where((info > 0) & (F.col("co") * pmi >= evidence * F.lit(math.log2(max(n, 1))))).withColumn("disclosure", pmi / info)
-    flagged = flagged.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure")
-    return met.join(flagged, ["entity", "term"]).groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+    passes, disclosure = over(F.col("co"), F.col("df_e"))
+    of_more = met.join(pairs.join(df_t, "term").where(passes).select("entity", "term", disclosure), ["entity", "term"]).select("text_hash", "term", "disclosure")
+    return of_one.unionByName(of_more).groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 _NONE = "array<struct<kind:string,s:int,e:int,v:string>>"
 
 
-def _found(docs: DataFrame, carry: list[str], *, support: int = 2, evidence: float = 1.5, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
+def _found(docs: DataFrame, carry: list[str], *, support: int = 2, evidence: float = 1.0, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
     """One row per row of docs: r (its columns `carry`), base, and more: disclosing terms as
     struct(kind: generalise or remove, s, e, v) by kind, then start."""
     scanned = _scan(docs, carry)
-    told = disclosing(scanned, support=support, evidence=evidence, generalise_at=generalise_at)
-    told = told.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    n = scanned.select("text_hash").distinct().count()
     personal = scanned.where(F.size("base") > 0)
-    read = spans(personal.groupBy("text_hash").agg(F.first("text").alias("text"), F.first("base").alias("base")).join(told, "text_hash"), "words", "text", TERM, F.lit(True))
-    marked = F.transform("words", lambda x: F.struct(F.try_element_at("told", F.xxhash64(F.lower(x["v"]))).alias("d"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
-    marked = F.filter(marked, lambda x: x["d"].isNotNull() & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    kinds = F.transform(marked, lambda x: F.struct(F.when(x["d"] >= remove_at, "remove").otherwise("generalise").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
-    more = read.select(F.col("text_hash").alias("h"), F.array_sort(kinds).alias("more"))
+    texts = materialise(personal.groupBy("text_hash").agg(F.first("text").alias("text"), F.first("base").alias("base")), "pii-texts")
+    told = disclosing(docs, texts, n, support=support, evidence=evidence, generalise_at=generalise_at)
+    # places of all words of a text that holds such a term: running sums, linear in the text
+    some = texts.join(told.select("text_hash").distinct(), "text_hash", "left_semi")
+    found = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    words = some.select("text_hash", F.posexplode(F.arrays_zip(found.alias("v"), F.split("text", TERM, -1).alias("gap"))).alias("i", "x")).where(F.col("x.v").isNotNull())
+    end = F.sum(F.length("x.gap") + F.length("x.v")).over(Window.partitionBy("text_hash").orderBy("i")).cast("int")
+    words = words.select("text_hash", F.xxhash64(F.lower("x.v")).alias("term"), (end - F.length("x.v")).alias("s"), end.alias("e"), F.col("x.v").alias("v"))
+    kind = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("kind")
+    marks = words.join(told, ["text_hash", "term"]).groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct(kind, "s", "e", "v"))).alias("marks"))
+    free = F.filter("marks", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    more = texts.join(marks, "text_hash").select(F.col("text_hash").alias("h"), free.alias("more"))
     none = F.array().cast(_NONE)
     # rows without personal data, most of the table, meet nothing
     met = personal.join(more, F.col("text_hash") == F.col("h"), "left").select("r", "base", F.coalesce("more", none).alias("more"))

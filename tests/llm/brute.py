@@ -48,7 +48,7 @@ def entities(text):
     return out
 
 
-def disclosing(texts, support=2, evidence=1.5, generalise_at=0.7, remove_at=0.9):
+def disclosing(texts, support=2, evidence=1.0, generalise_at=0.7, remove_at=0.9):
     """{text: [(kind, start, end)]} of disclosing terms, by counts over distinct texts."""
     terms = {t: {m[0].lower() for m in TERM.finditer(t)} for t in texts}
     ents = {t: entities(t) for t in texts}
@@ -57,7 +57,7 @@ def disclosing(texts, support=2, evidence=1.5, generalise_at=0.7, remove_at=0.9)
     told = {}
     for (e, w), c in co.items():
         info, pmi = math.log2(len(texts) / df_e[e]), math.log2(c * len(texts) / (df_e[e] * df_t[w]))
-        if c >= support and info > 0 and c * pmi >= evidence * math.log2(len(texts)) and pmi / info >= generalise_at:
+        if (c >= support or df_e[e] == 1) and info > 0 and c * pmi >= evidence * math.log2(len(texts)) - 1e-9 and pmi / info >= generalise_at:
             told[e, w] = pmi / info
     out = {}
     for t in texts:

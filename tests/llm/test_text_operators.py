@@ -504,12 +504,16 @@ def test_ctw_against_plain_tree(spark):
 
 
 def test_ctw_windows():
-    """Grams come once each, whatever the window."""
+    """Grams come once each, in order, whatever the window, and every text's are told apart."""
     texts = [b"abc\0", b"\0", b"de fgh ij\0"]
-    whole = [(w, g) for ws, gs in ctw_score.grams_of(texts) for w, g in zip(ws.tolist(), gs.tolist(), strict=True)]
-    for window in (1, 3, 7):
-        assert [(w, g) for ws, gs in ctw_score.grams_of(texts, window) for w, g in zip(ws.tolist(), gs.tolist(), strict=True)] == whole
-    assert [w for w, _ in whole] == [0] * 4 + [1] + [2] * 10
+    pad = bytes(ctw_score.DEPTH)
+    want = [[int.from_bytes((pad + t)[i : i + ctw_score.DEPTH + 1][:-1][::-1] + t[i : i + 1], "big") for i in range(len(t))] for t in texts]
+    for window in (1, 2, 3, 7, 1000):
+        got = [[] for _ in texts]
+        for g, begin, first in ctw_score.grams_of(texts, window):
+            for k, part in enumerate(np.split(g, begin[1:])):
+                got[first + k] += part.tolist()
+        assert got == want, window
 
 
 @pytest.mark.parametrize("hot", [1_000_000, 3])
