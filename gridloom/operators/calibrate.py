@@ -62,6 +62,10 @@ def _quantile(c: Column, q: float) -> Column:
     return F.percentile_approx(c, q, ACCURACY)
 
 
+def _dot(columns: list[Column], weights: list[float]) -> Column:
+    return sum((b * w for b, w in zip(columns, weights, strict=True)), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Basis:
     """Splines of nuisance columns, products of the first two's, and each spline by category."""
@@ -85,8 +89,8 @@ class Basis:
         names = [f"__b{i}" for i in range(len(every))]
         model = ridge(df.withColumns(dict(zip(names, every, strict=True))), names, label, alpha)
         w = model.coefficients.toArray().tolist()
-        own = sum((b * k for b, k in zip(self.columns, w, strict=False)), F.lit(0.0))
-        rest = sum((b * k for b, k in zip(more or [], w[len(self.columns) :], strict=True)), F.lit(0.0))
+        own = _dot(self.columns, w[: len(self.columns)])
+        rest = _dot(more, w[len(self.columns) :]) if more else F.lit(0.0)
         return own + rest + F.lit(float(model.intercept)), own
 
 
@@ -188,13 +192,16 @@ class Calibrator:
         return Calibrator(self.effect, self.offset, self.edge, self.bound, self.shift, tier_, stats)
 
     def transform(self, df: DataFrame, p: str, out: str, covered: str | None = None) -> DataFrame:
-        odds = self.odds(p)
+        # the log odds are a column of their own, so that what is built on them does not repeat them
+        df = df.withColumn("__odds", self.odds(p))
+        odds = F.col("__odds")
         if covered is not None:
-            moved = F.coalesce(*[F.when(self.tier == t, a + b * (odds - c) / d) for t, a, b, c, d in self.stats], odds)
+            df = df.withColumn("__tier", F.lit(0) if self.tier is None else self.tier)
+            moved = F.coalesce(*[F.when(F.col("__tier") == t, a + b * (odds - c) / d) for t, a, b, c, d in self.stats], odds)
             odds = F.when(F.col(covered), odds).otherwise(moved)
         if self.bound:
             odds = clip(odds, -self.bound, self.bound)
-        return df.withColumn(out, expit(odds))
+        return df.withColumn(out, expit(odds)).drop("__odds", "__tier")
 
 
 def terciles(train: DataFrame, score: Column) -> Column:
