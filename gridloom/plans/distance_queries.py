@@ -14,17 +14,17 @@ from gridloom.sources.cells import GRID_SQL, cells, footprint, spec, truth
 RGRID = f"WITH RECURSIVE {GRID_SQL}"
 
 
-@query(f"WITH {DENSE}, s AS (SELECT y, x FROM fp WHERE p = '1-URGENT' AND v > 450000) SELECT d.y, d.x, min((d.y - s.y) * (d.y - s.y) + (d.x - s.x) * (d.x - s.x)) AS d2 FROM dn d, s GROUP BY ALL")
+@query(f"WITH {DENSE}, s AS (SELECT y, x FROM fp WHERE p = '1-URGENT') SELECT d.y, d.x, min((d.y - s.y) * (d.y - s.y) + (d.x - s.x) * (d.x - s.x)) AS d2 FROM dn d, s GROUP BY ALL")
 def d01_distance_transform(spark, sf):
     """Exact distance to the nearest seed anywhere, in two passes."""
     w = spec(spark, sf).width
-    seeds = truth(footprint(spark, sf)).where("v > 450000")
+    seeds = truth(footprint(spark, sf))
     return ds.transform(dense(cells(spark, sf), w, w), seeds).select("y", "x", "d2")
 
 
-@query(f"WITH {GRID_SQL}, s AS (SELECT y + a AS y, x + b AS x, min(a*a + b*b) AS d2 FROM fp, range(-9, 10) r(a), range(-9, 10) q(b) WHERE p = '1-URGENT' AND v > 450000 AND a*a + b*b <= 81 GROUP BY ALL) SELECT g.cell_id, s.d2 FROM g LEFT JOIN s USING (y, x)")
+@query(f"WITH {GRID_SQL}, s AS (SELECT y + a AS y, x + b AS x, min(a*a + b*b) AS d2 FROM fp, range(-9, 10) r(a), range(-9, 10) q(b) WHERE p = '1-URGENT' AND a*a + b*b <= 81 GROUP BY ALL) SELECT g.cell_id, s.d2 FROM g LEFT JOIN s USING (y, x)")
 def d01_distance_within(spark, sf):
-    seeds = truth(footprint(spark, sf)).where("v > 450000")
+    seeds = truth(footprint(spark, sf))
     return ds.near(cells(spark, sf), seeds, 9).select("cell_id", F.col("d2").cast("long").alias("d2"))
 
 

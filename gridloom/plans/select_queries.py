@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators import emit, similarity as sim
-from gridloom.operators.distance import apart, near
-from gridloom.operators.stencil import disc, scatter, triangular
+from gridloom.operators.distance import apart, near, transform
+from gridloom.operators.stencil import dense, disc, scatter, triangular
 from gridloom.plans.registry import query
 from gridloom.plans.stencil_queries import DENSE  # noqa: F401
-from gridloom.sources.cells import GRID_SQL, cells, footprint, prediction, table, truth
+from gridloom.sources.cells import GRID_SQL, cells, footprint, prediction, spec, table, truth
 
 
 def _hash(seed: str, *parts: str) -> str:
@@ -46,10 +46,12 @@ def g09_obligation_plan(spark, sf):
     return o.join(F.broadcast(n), o["p"] == n["k"]).where("i <= n").select("cell_id")
 
 
-@query(f"WITH {GRID_SQL}, t AS (SELECT y + a AS y, x + b AS x, min(a*a + b*b) AS d2 FROM fp, range(-12, 13) r(a), range(-12, 13) q(b) WHERE p = '1-URGENT' AND v > 450000 AND a*a + b*b <= 144 GROUP BY ALL), d AS (SELECT sqrt(d2) AS d FROM fp LEFT JOIN t USING (y, x) WHERE p = '2-HIGH' AND st = 'O') SELECT count(*) AS dots, round(avg(CASE WHEN d <= 3 THEN 1.0 ELSE 0 END), 6) AS within3, round(avg(CASE WHEN d <= 9 THEN 1.0 ELSE 0 END), 6) AS within9, round(median(d), 6) AS mid, round(min(d), 6) AS nearest FROM d")
+@query(f"WITH {GRID_SQL}, d AS (SELECT q.cell_id, sqrt(min((q.y - t.y) * (q.y - t.y) + (q.x - t.x) * (q.x - t.x))) AS d FROM fp q, fp t WHERE q.p = '2-HIGH' AND q.st = 'O' AND t.p = '1-URGENT' GROUP BY 1) SELECT count(*) AS dots, round(avg(CASE WHEN d <= 3 THEN 1.0 ELSE 0 END), 6) AS within3, round(avg(CASE WHEN d <= 9 THEN 1.0 ELSE 0 END), 6) AS within9, round(median(d), 6) AS mid, round(min(d), 6) AS nearest FROM d")
 def g11_distance_profile(spark, sf):
-    fp = footprint(spark, sf)
-    d = near(prediction(fp), truth(fp).where("v > 450000"), 12).select(F.sqrt("d2").alias("d"))
+    """Distances from dots to the nearest truth cell, however far."""
+    fp, w = footprint(spark, sf), spec(spark, sf).width
+    d2 = transform(dense(cells(spark, sf), w, w), truth(fp)).select("y", "x", "d2")
+    d = prediction(fp).join(d2, ["y", "x"]).select(F.sqrt("d2").alias("d"))
     share = lambda r: F.round(F.avg(F.when(F.col("d") <= r, 1.0).otherwise(0.0)), 6)
     return d.agg(F.count("*").alias("dots"), share(3).alias("within3"), share(9).alias("within9"), F.round(F.median("d"), 6).alias("mid"), F.round(F.min("d"), 6).alias("nearest"))
 
@@ -163,7 +165,7 @@ def j01_priority_poisson(spark, sf):
 @query()
 def j14_poisson_with_clearance(spark, sf):
     fp = footprint(spark, sf)
-    free = apart(fp, truth(fp).where("v > 450000"), 2)
+    free = apart(fp, truth(fp), 2)
     return emit.poisson(free.select("y", "x", "v", "cell_id"), "v", "cell_id", spacing=3.0, k=200).select("y", "x", "id")
 
 
@@ -198,25 +200,25 @@ def j08_random_thin(spark, sf):
     return emit.sample(footprint(spark, sf), "cell_id", 500, 11).select("cell_id")
 
 
-FAR9 = "bad AS (SELECT DISTINCT y + a AS y, x + b AS x FROM fp, range(-3, 4) r(a), range(-3, 4) q(b) WHERE p = '1-URGENT' AND v > 450000 AND a*a + b*b <= 9)"
+FAR9 = "bad AS (SELECT DISTINCT y + a AS y, x + b AS x FROM fp, range(-3, 4) r(a), range(-3, 4) q(b) WHERE p = '1-URGENT' AND a*a + b*b <= 9)"
 
 
-@query(f"WITH {GRID_SQL}, {FAR9}, s AS (SELECT cell_id, 'pos' AS kind, y // 20 AS by_, x // 20 AS bx FROM fp WHERE p = '1-URGENT' AND v > 450000 UNION ALL (SELECT cell_id, 'neg', y // 20, x // 20 FROM fp ANTI JOIN bad USING (y, x) ORDER BY {_hash('13', 'cell_id')}, cell_id LIMIT 400)) SELECT * FROM s")
+@query(f"WITH {GRID_SQL}, {FAR9}, s AS (SELECT cell_id, 'pos' AS kind, y // 20 AS by_, x // 20 AS bx FROM fp WHERE p = '1-URGENT' UNION ALL (SELECT cell_id, 'neg', y // 20, x // 20 FROM fp ANTI JOIN bad USING (y, x) ORDER BY {_hash('13', 'cell_id')}, cell_id LIMIT 400)) SELECT * FROM s")
 def j18_training_sample(spark, sf):
     """All positives, a bounded hash sample of background away from them, with block ids."""
     fp = footprint(spark, sf)
-    pos = truth(fp).where("v > 450000")
+    pos = truth(fp)
     neg = emit.sample(apart(fp, pos, 3), "cell_id", 400, 13)
     block = lambda d, k: d.select("cell_id", F.lit(k).alias("kind"), F.floor(F.col("y") / 20).alias("by_"), F.floor(F.col("x") / 20).alias("bx"))
     return block(pos, "pos").unionByName(block(neg, "neg"))
 
 
-STRATA = "t AS (SELECT y + a AS y, x + b AS x, min(a*a + b*b) AS d2 FROM fp, range(-9, 10) r(a), range(-9, 10) q(b) WHERE p = '1-URGENT' AND v > 450000 AND a*a + b*b <= 81 GROUP BY ALL), s AS (SELECT cell_id, CASE WHEN d2 = 0 THEN 'core' WHEN d2 <= 9 THEN 'corridor' WHEN d2 <= 81 THEN 'near' ELSE 'far' END AS stratum FROM fp LEFT JOIN t USING (y, x))"
+STRATA = "t AS (SELECT y + a AS y, x + b AS x, min(a*a + b*b) AS d2 FROM fp, range(-9, 10) r(a), range(-9, 10) q(b) WHERE p = '1-URGENT' AND a*a + b*b <= 81 GROUP BY ALL), s AS (SELECT cell_id, CASE WHEN d2 = 0 THEN 'core' WHEN d2 <= 9 THEN 'corridor' WHEN d2 <= 81 THEN 'near' ELSE 'far' END AS stratum FROM fp LEFT JOIN t USING (y, x))"
 
 
 def _strata(spark, sf):
     fp = footprint(spark, sf)
-    d = near(fp, truth(fp).where("v > 450000"), 9)
+    d = near(fp, truth(fp), 9)
     return d.withColumn("stratum", F.when(F.col("d2") == 0, "core").when(F.col("d2") <= 9, "corridor").when(F.col("d2") <= 81, "near").otherwise("far"))
 
 
@@ -386,10 +388,10 @@ def k53_pearson_on_sample(spark, sf):
     return s.agg(F.round(sim.pearson("value", "user_id"), 6).alias("r_user"), F.round(sim.pearson("value", "hour"), 6).alias("r_hour"))
 
 
-@query(f"WITH {GRID_SQL}, {FAR9.replace('-3, 4', '-9, 10').replace('<= 9)', '<= 81)')}, n AS (SELECT DISTINCT y + a AS y, x + b AS x FROM fp, range(-3, 4) r(a), range(-3, 4) q(b) WHERE p = '1-URGENT' AND v > 450000 AND a*a + b*b <= 9) SELECT count(*) FILTER (n.y IS NOT NULL) AS near, count(*) FILTER (bad.y IS NULL) AS far FROM fp LEFT JOIN n USING (y, x) LEFT JOIN bad USING (y, x)")
+@query(f"WITH {GRID_SQL}, {FAR9.replace('-3, 4', '-9, 10').replace('<= 9)', '<= 81)')}, n AS (SELECT DISTINCT y + a AS y, x + b AS x FROM fp, range(-3, 4) r(a), range(-3, 4) q(b) WHERE p = '1-URGENT' AND a*a + b*b <= 9) SELECT count(*) FILTER (n.y IS NOT NULL) AS near, count(*) FILTER (bad.y IS NULL) AS far FROM fp LEFT JOIN n USING (y, x) LEFT JOIN bad USING (y, x)")
 def k04_near_far(spark, sf):
     fp = footprint(spark, sf)
-    d = near(fp, truth(fp).where("v > 450000"), 9)
+    d = near(fp, truth(fp), 9)
     return d.agg(F.count_if(F.col("d2") <= 9).alias("near"), F.count_if(F.col("d2").isNull()).alias("far"))
 
 

@@ -65,11 +65,11 @@ def f17_tilt_surface(spark, sf):
     return _r(t.join(F.broadcast(p)).withColumn("s", F.least(F.lit(1.0), F.col("tilt") / F.col("p95")) * F.exp(-F.col("disc") / 5)))
 
 
-@query(f"WITH {GRID_SQL}, t AS (SELECT y + a AS y, x + b AS x, min(a*a + b*b) AS d2 FROM fp, range(-12, 13) r(a), range(-12, 13) q(b) WHERE p = '1-URGENT' AND v > 450000 AND a*a + b*b <= 144 GROUP BY ALL), n AS {norm_sql('v', 'nv')} SELECT cell_id, round(0.6 * coalesce(exp(-sqrt(d2) / 4), 0) + 0.4 * nv, 6) AS value FROM fp JOIN n USING (cell_id) LEFT JOIN t USING (y, x)")
+@query(f"WITH {GRID_SQL}, t AS (SELECT y + a AS y, x + b AS x, min(a*a + b*b) AS d2 FROM fp, range(-12, 13) r(a), range(-12, 13) q(b) WHERE p = '1-URGENT' AND a*a + b*b <= 144 GROUP BY ALL), n AS {norm_sql('v', 'nv')} SELECT cell_id, round(0.6 * coalesce(exp(-sqrt(d2) / 4), 0) + 0.4 * nv, 6) AS value FROM fp JOIN n USING (cell_id) LEFT JOIN t USING (y, x)")
 def f18_source_decay_surface(spark, sf):
     """Decay with distance to sources, blended with a normalised layer."""
     fp = footprint(spark, sf)
-    d = near(fp, truth(fp).where("v > 450000"), 12)
+    d = near(fp, truth(fp), 12)
     n = _norm(cells(spark, sf), "v", "nv").select("cell_id", "nv")
     return _r(d.join(n, "cell_id").withColumn("s", 0.6 * F.coalesce(F.exp(-F.sqrt("d2") / 4), F.lit(0.0)) + 0.4 * F.col("nv")))
 
