@@ -63,12 +63,6 @@ def rank_logit(q: Column) -> Column:
     return F.ln(r / (1 - r))
 
 
-def cdf_rank(value: str, key: str) -> Column:
-    """Empirical CDF in (0, 1], ties by key; over non-null rows."""
-    w = Window.orderBy(value, key)
-    return F.row_number().over(w) / F.count(value).over(Window.partitionBy())
-
-
 def sanitise(v: Column) -> Column:
     """NaN and null to 0, into [0, 1]."""
     return F.when(v.isNull() | F.isnan(v), 0.0).otherwise(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))

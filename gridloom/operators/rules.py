@@ -25,10 +25,37 @@ def blockers(**rules: Column) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]))
 
 
-def content_id(keys: Column, n: int = 64) -> Column:
-    """An aggregate: SHA-256 of a set of keys in order, as text; its first n hex digits."""
-    ordered = F.transform(F.array_sort(F.collect_list(keys)), lambda c: c.cast("string"))
-    return F.substring(F.sha2(F.array_join(ordered, ",").cast("binary"), 256), 1, n)
+#: Keys, or hashes of the level below, in a block of a content hash.
+BLOCK = 4096
+
+
+def content_id(df: DataFrame, key: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, out): SHA-256 of a set of keys from 0 on, as a tree.
+
+    A block of keys is hashed as comma-joined text in order, then blocks of block hashes likewise,
+    until one is left; two levels at least. No row holds more than BLOCK parts, unless keys repeat.
+    Null keys are left out; no keys at all give no row.
+    """
+    top = df.agg(F.max(key)).first()[0]
+    level = df.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("__at"), F.col(key).cast("string").alias("__part"))
+    size, levels = BLOCK, 2
+    while size * BLOCK <= (top or 0):
+        size, levels = size * BLOCK, levels + 1
+    for _ in range(levels):
+        parts = F.array_sort(F.collect_list(F.struct("__at", "__part")))
+        text = F.array_join(F.transform(parts, lambda p: p["__part"]), ",")
+        level = level.groupBy(*by, F.floor(F.col("__at") / BLOCK).alias("__b")).agg(F.sha2(text.cast("binary"), 256).alias("__part"))
+        level = level.withColumnRenamed("__b", "__at")
+    return level.select(*by, F.col("__part").alias(out))
+
+
+def cache_state(source: DataFrame, copy: DataFrame, part: str, parts: DataFrame) -> DataFrame:
+    """(part, lost, added, reusable) of a copy against its source: rows only in one, repeats counted."""
+    n = F.count("*")
+    lost = source.exceptAll(copy).groupBy(F.col(part).alias("part")).agg(n.alias("lost"))
+    added = copy.exceptAll(source).groupBy(F.col(part).alias("part")).agg(n.alias("added"))
+    both = parts.join(lost, "part", "left").join(added, "part", "left").na.fill(0, ["lost", "added"])
+    return both.withColumn("reusable", F.col("lost") + F.col("added") == 0)
 
 
 def blob_sha(content: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.scalar import clip, expit, logit, quantile01, robust_z
-from gridloom.operators import emit, folds, metric, rules
+from gridloom.operators import emit, folds, metric, ranks, rules
 from gridloom.operators import similarity as sim
 from gridloom.operators import stencil as st
 from gridloom.operators.distance import apart, d8, nearest_fill, written
@@ -66,7 +66,8 @@ def a13_skip_malformed(spark, sf):
 @query("SELECT 'n' || n_nationkey || '/' || n_name AS path, n_regionkey AS size, md5(n_name) AS sha FROM nation WHERE regexp_matches(n_name, '^[A-Za-z0-9_ ]+$')")
 def a23_inventory(spark, sf):
     """A nested listing exploded to rows; rows of a bad shape are left out."""
-    tree = table(spark, sf, "nation").agg(F.collect_list(F.struct(F.concat(F.lit("n"), "n_nationkey", F.lit("/"), "n_name").alias("path"), F.col("n_regionkey").alias("size"), F.md5(F.col("n_name").cast("binary")).alias("sha"), "n_name")).alias("tree"))
+    # one listing for each region, each exploded where it is
+    tree = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.concat(F.lit("n"), "n_nationkey", F.lit("/"), "n_name").alias("path"), F.col("n_regionkey").alias("size"), F.md5(F.col("n_name").cast("binary")).alias("sha"), "n_name")).alias("tree"))
     e = tree.select(F.explode("tree").alias("t")).select("t.*")
     return e.where(F.col("n_name").rlike("^[A-Za-z0-9_ ]+$") & rules.is_hash(F.col("sha"), 32)).select("path", "size", "sha")
 
@@ -181,7 +182,7 @@ def e14_residual_rank(spark, sf):
     g = cells(spark, sf, items=True).where("disc IS NOT NULL")
     b = g.agg(F.avg("v").alias("mv"), F.avg("disc").alias("md"), (F.covar_pop("v", "disc") / (F.var_pop("disc") + 0.01)).alias("k"))
     r = g.join(F.broadcast(b)).withColumn("e", F.round(F.col("v") - F.col("mv") - F.col("k") * (F.col("disc") - F.col("md")), 6))
-    return r.select("cell_id", F.round((F.row_number().over(Window.orderBy("e", "cell_id")) - 0.5) / F.count("*").over(Window.partitionBy()), 6).alias("value"))
+    return ranks.numbered(r, "e", "cell_id", "i", "n").select("cell_id", F.round((F.col("i") - 0.5) / F.col("n"), 6).alias("value"))
 
 
 @query(f"WITH {GRID_SQL}, a AS (SELECT cell_id, (v - q.a) / (q.b - q.a) AS s, (cell_id * 37 % 256) / 255.0 AS u FROM fp, (SELECT quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS b FROM fp) q) SELECT cell_id, round(greatest(0, least(1, s)) - u, 6) AS value FROM a")
@@ -201,7 +202,7 @@ def e31_quantile_map(spark, sf):
     """One class mapped onto another's quantiles, downward only."""
     fp = footprint(spark, sf)
     q = fp.where("p = '5-LOW'").agg(F.percentile("v", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("q"))
-    a = truth(fp).withColumn("r", F.percent_rank().over(Window.orderBy("v")) * 4).join(F.broadcast(q))
+    a = ranks.percent_rank(truth(fp), "v", "r").withColumn("r", F.col("r") * 4).join(F.broadcast(q))
     i = F.least(F.floor("r"), F.lit(3)).cast("int")
     to = F.get("q", i) + (F.col("r") - i) * (F.get("q", i + 1) - F.get("q", i))
     return a.select("cell_id", F.round(F.least("v", to), 4).alias("value"))
@@ -315,9 +316,10 @@ def m22_release_consistency(spark, sf):
     return a.join(b, "k", "full").agg(F.bool_and(F.col("n").eqNullSafe(F.col("m"))).alias("consistent"), F.count("*").alias("files"))
 
 
-@query("WITH p AS (SELECT o_orderpriority AS ch, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS sha, count(*) AS n FROM orders GROUP BY 1) SELECT ch, sha, n FROM p")
+@query("WITH b AS (SELECT o_orderpriority AS ch, o_orderkey // 4096 AS b, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS h, count(*) AS n FROM orders GROUP BY ALL) SELECT ch, sha256(string_agg(h, ',' ORDER BY b)) AS sha, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY ch")
 def m26_channel_hashes(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("ch")).agg(rules.content_id(F.col("o_orderkey")).alias("sha"), F.count("*").alias("n"))
+    ch = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("ch"), "o_orderkey")
+    return rules.content_id(ch, "o_orderkey", "sha", ("ch",)).join(ch.groupBy("ch").agg(F.count("*").alias("n")), "ch")
 
 
 @query("SELECT 'orders' AS asset, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders UNION ALL SELECT 'lineitem', count(*), min(l_extendedprice), max(l_extendedprice) FROM lineitem")

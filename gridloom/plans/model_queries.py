@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import folds, models
 from gridloom.plans.registry import query
-from gridloom.sources.cells import cells, footprint
+from gridloom.plans.select_queries import _hash
+from gridloom.sources.cells import GRID_SQL, cells, footprint
 
 
 def _rows(spark, sf):
@@ -26,14 +27,14 @@ def k07_spatial_cv_auc(spark, sf):
     return models.fold_auc(_rows(spark, sf), ["v", "qty"], "label", "fold")
 
 
-@query()
+@query(f"""WITH {GRID_SQL}, r AS (SELECT y // 20 AS block, p = '1-URGENT' AS lab, v FROM fp), dr AS (SELECT unnest(range(-1, 19)) AS d),
+x AS (SELECT d, v, CASE WHEN d >= 0 AND {_hash('5', 'd', 'block')} % 2 = 1 THEN NOT lab ELSE lab END AS lab FROM r, dr),
+gaps AS (SELECT d, round(abs(avg(v) FILTER (lab) - avg(v) FILTER (NOT lab)), 6) AS gap FROM x GROUP BY d)
+SELECT round(max(gap) FILTER (d < 0), 4) AS observed, round(avg(gap) FILTER (d >= 0), 4) AS null_mean, (1 + count(*) FILTER (d >= 0 AND gap >= (SELECT gap FROM gaps WHERE d < 0))) / 20.0 AS p FROM gaps""")
 def k08_two_sample_test(spark, sf):
     """Difference of means between the classes against flips by block."""
-    r = _rows(spark, sf).cache()
-    gap = lambda d: d.agg(F.abs(F.avg(F.when(F.col("label") == 1, F.col("v"))) - F.avg(F.when(F.col("label") == 0, F.col("v")))).alias("g")).first()["g"]
-    seen, mean, p = models.two_sample(r, gap, "label", "block", draws=19, seed=5)
-    r.unpersist()
-    return spark.range(1).select(F.lit(round(seen, 4)).alias("observed"), F.lit(round(mean, 4)).alias("null_mean"), F.lit(p).alias("p"))
+    got = models.two_sample(_rows(spark, sf), "v", "label", "block", draws=19, seed=5)
+    return got.select(F.round("observed", 4).alias("observed"), F.round("null_mean", 4).alias("null_mean"), "p")
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import scalar as sc
-from gridloom.operators.similarity import midrank
+from gridloom.operators import ranks
 from gridloom.plans.registry import query
 from gridloom.sources.cells import GRID_SQL, band, cells, footprint, table
 
@@ -66,20 +66,20 @@ def e10_rank_score(spark, sf):
 
 @query(f"WITH {GRID_SQL} SELECT cell_id, round(row_number() OVER (ORDER BY qty, cell_id) / (count(*) OVER ())::DOUBLE, 6) AS a FROM fp WHERE qty IS NOT NULL")
 def e11_footprint_rank(spark, sf):
-    return _r(footprint(spark, sf, items=True).where("qty IS NOT NULL").withColumn("a", sc.cdf_rank("qty", "cell_id")), "a")
+    r = ranks.numbered(footprint(spark, sf, items=True), "qty", "cell_id", "i", "n")
+    return _r(r.withColumn("a", F.col("i") / F.col("n")), "a")
 
 
 @query(f"WITH {GRID_SQL} SELECT cell_id, round((rank() OVER (ORDER BY qty) + (count(*) OVER (PARTITION BY qty) - 1) / 2.0 - 1) / (count(*) OVER () - 1), 6) AS a FROM fp WHERE qty IS NOT NULL")
 def e12_percentile_rank(spark, sf):
-    fp = footprint(spark, sf, items=True).where("qty IS NOT NULL")
-    return _r(fp.withColumn("a", (midrank("qty") - 1) / (F.count("*").over(Window.partitionBy()) - 1)), "a")
+    r = ranks.placed(footprint(spark, sf, items=True), "qty")
+    return _r(r.withColumn("a", (F.col("__below") + (F.col("__same") - 1) / 2) / (F.col("__all") - 1)), "a")
 
 
 @query(f"WITH {GRID_SQL}, r AS (SELECT cell_id, qty, count(qty) OVER (ORDER BY qty RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c, count(qty) OVER () AS n FROM g WHERE qty IS NOT NULL) SELECT g.cell_id, CAST(coalesce(floor((c - 1) * 65534.0 / (n - 1)), 0) AS INTEGER) AS a FROM g LEFT JOIN r USING (cell_id)")
 def e13_rank_u16(spark, sf):
     g = cells(spark, sf, items=True)
-    w = Window.orderBy("qty").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    r = g.where("qty IS NOT NULL").select("cell_id", F.count("qty").over(w).alias("c"), F.count("qty").over(Window.partitionBy()).alias("n"))
+    r = ranks.placed(g, "qty").select("cell_id", (F.col("__below") + F.col("__same")).alias("c"), F.col("__all").alias("n"))
     return g.select("cell_id").join(r, "cell_id", "left").select("cell_id", F.coalesce(F.floor((F.col("c") - 1) * 65534.0 / (F.col("n") - 1)), F.lit(0)).cast("int").alias("a"))
 
 
@@ -261,7 +261,7 @@ SELECT need.cell_id, pool.qty AS fill FROM need, (SELECT max(n) AS n FROM pool)
 def k52_random_fill(spark, sf):
     """Undefined cells take a hashed pick of the defined ones."""
     g = cells(spark, sf, items=True)
-    pool = g.where("qty IS NOT NULL").select(F.col("qty").alias("fill"), (F.row_number().over(Window.orderBy("cell_id")) - 1).alias("i"))
+    pool = ranks.numbered(g.where("qty IS NOT NULL"), "cell_id", "cell_id", "i").select(F.col("qty").alias("fill"), (F.col("i") - 1).alias("i"))
     n = g.where("qty IS NOT NULL").agg(F.count("*").alias("n"))
-    need = g.where("qty IS NULL").select("cell_id", sc.hashed(F.lit(3), "cell_id").alias("h")).join(F.broadcast(n)).withColumn("i", (F.col("h") % F.col("n")).cast("int"))
+    need = g.where("qty IS NULL").select("cell_id", sc.hashed(F.lit(3), "cell_id").alias("h")).join(F.broadcast(n)).withColumn("i", F.col("h") % F.col("n"))
     return need.join(pool, "i").select("cell_id", "fill")

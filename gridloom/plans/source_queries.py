@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators import lines as ln
-from gridloom.operators import rules
+from gridloom.operators import ranks, rules
 from gridloom.plans.registry import query
 from gridloom.plans.stencil_queries import DENSE
 from gridloom.sources import scans
@@ -22,16 +22,12 @@ def a01_load_band(spark, sf):
 
 @query(f"WITH {GRID_SQL} SELECT cell_id FROM fp")
 def a02_decode_runs(spark, sf):
-    """The footprint packed to run lengths and decoded again."""
+    """The footprint packed to run lengths, a payload for each grid row, and decoded again."""
     fp = footprint(spark, sf)
-    n = spec(spark, sf)
-    runs, at = [], 0
-    for r in scans.mask_runs(fp, "cell_id").orderBy("start").collect():  # two rows a grid row
-        runs += [r["start"] - at, r["n"]]
-        at = r["start"] + r["n"]
-    payload = scans.packed_runs([*runs, n.height * n.width - at])
-    df = spark.createDataFrame([("m", bytearray(payload))], "mask string, payload binary")
-    return scans.decode_runs(df, n.height * n.width).select("cell_id")
+    w = spec(spark, sf).width
+    payloads = scans.packed_mask(fp.select(F.col("y").cast("string").alias("mask"), F.col("x").alias("cell_id")), w)
+    got = scans.decode_runs(payloads, w)
+    return got.select((F.col("mask").cast("long") * w + F.col("cell_id")).alias("cell_id"))
 
 
 @query(f"WITH {GRID_SQL} SELECT y, x FROM fp")
@@ -123,11 +119,18 @@ def a14_read_points(spark, sf):
     return table(spark, sf, "events").select("event_id", v.alias("v"), F.coalesce(v, F.lit(20.0)).alias("filled"))
 
 
-@query("SELECT item_id, md5(text) AS sha FROM benchmark WHERE false")
+@query("""WITH m AS (SELECT item_id, md5(text) AS sha, text FROM benchmark WHERE NOT contains(text, 'z')),
+f AS (SELECT item_id, CASE WHEN length(text) % 3 = 0 THEN md5(text || '.') ELSE md5(text) END AS sha FROM benchmark WHERE length(text) % 5 <> 0),
+d AS (SELECT * FROM f UNION ALL SELECT item_id, md5(text) FROM benchmark WHERE length(text) % 7 = 0),
+n AS (SELECT item_id, count(*) AS n, max(sha) AS got FROM d GROUP BY 1)
+SELECT * FROM (SELECT item_id, CASE WHEN n.n IS NULL THEN 'missing' WHEN m.item_id IS NULL THEN 'extra' WHEN n.n > 1 THEN 'duplicate' WHEN got <> sha THEN 'mismatch' END AS state FROM m FULL JOIN n USING (item_id)) WHERE state IS NOT NULL""")
 def a15_manifest_complete(spark, sf):
-    """A manifest of contents against the contents themselves: no gap."""
-    b = table(spark, sf, "benchmark").select("item_id", F.md5(F.col("text").cast("binary")).alias("sha"))
-    return rules.manifest_gaps(b, b, "item_id", "sha").select("item_id", F.col("state").alias("sha"))
+    """A manifest against a store with lost, damaged, doubled and unlisted contents."""
+    b = table(spark, sf, "benchmark")
+    sha, n = F.md5(F.col("text").cast("binary")), F.length("text")
+    damaged = F.md5(F.concat("text", F.lit(".")).cast("binary"))
+    found = b.where(n % 5 != 0).select("item_id", F.when(n % 3 == 0, damaged).otherwise(sha).alias("sha")).unionByName(b.where(n % 7 == 0).select("item_id", sha.alias("sha")))
+    return rules.manifest_gaps(b.where(~F.contains("text", F.lit("z"))).select("item_id", sha.alias("sha")), found, "item_id", "sha")
 
 
 @query("""WITH m AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS n FROM pages)
@@ -192,17 +195,19 @@ def b05_write_template(spark, sf):
 @query(f"WITH {GRID_SQL}, r AS (SELECT cell_id, percent_rank() OVER (ORDER BY v) AS a FROM fp), q AS (SELECT cell_id, percent_rank() OVER (ORDER BY qty) AS b FROM fp WHERE qty IS NOT NULL) SELECT cell_id, CAST(floor(a * 65534) AS INTEGER) AS a, CAST(coalesce(floor(b * 65534), 0) AS INTEGER) AS b FROM r LEFT JOIN q USING (cell_id)")
 def b06_rank_stack(spark, sf):
     fp = footprint(spark, sf, items=True)
-    a = fp.select("cell_id", F.floor(F.percent_rank().over(Window.orderBy("v")) * 65534).cast("int").alias("a"))
-    b = fp.where("qty IS NOT NULL").select("cell_id", F.floor(F.percent_rank().over(Window.orderBy("qty")) * 65534).cast("int").alias("b"))
+    a, b = (ranks.percent_rank(fp, c, "r").select("cell_id", F.floor(F.col("r") * 65534).cast("int").alias(n)) for c, n in (("v", "a"), ("qty", "b")))
     return a.join(b, "cell_id", "left").select("cell_id", "a", F.coalesce("b", F.lit(0)).alias("b"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT * FROM region EXCEPT ALL SELECT * FROM region)) = 0 AS same, (SELECT count(*) FROM (SELECT * FROM nation EXCEPT ALL SELECT * FROM nation WHERE n_regionkey > 0)) AS changed")
+@query("""WITH a AS (SELECT n_nationkey, n_regionkey, n_name FROM nation), b AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_regionkey = 3 THEN lower(n_name) ELSE n_name END AS n_name FROM a WHERE n_regionkey <> 4 UNION ALL SELECT * FROM a WHERE n_regionkey = 2),
+l AS (SELECT n_regionkey AS part, count(*) AS lost FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY 1), e AS (SELECT n_regionkey AS part, count(*) AS added FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY 1)
+SELECT r_regionkey AS part, coalesce(lost, 0) AS lost, coalesce(added, 0) AS added, coalesce(lost, 0) + coalesce(added, 0) = 0 AS reusable FROM region LEFT JOIN l ON l.part = r_regionkey LEFT JOIN e ON e.part = r_regionkey""")
 def b08_verify_cached(spark, sf):
-    """Reuse only what is equal both ways."""
-    r, n = table(spark, sf, "region"), table(spark, sf, "nation")
-    d = r.exceptAll(r).agg((F.count("*") == 0).alias("same"))
-    return d.join(F.broadcast(n.exceptAll(n.where("n_regionkey > 0")).agg(F.count("*").alias("changed"))))
+    """A cached copy against its source, part by part: reuse only what is equal both ways, repeats counted."""
+    a = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    region = F.col("n_regionkey")
+    copy = a.where(region != 4).withColumn("n_name", F.when(region == 3, F.lower("n_name")).otherwise(F.col("n_name"))).unionByName(a.where(region == 2))
+    return rules.cache_state(a, copy, "n_regionkey", table(spark, sf, "region").select(F.col("r_regionkey").alias("part")))
 
 
 @query(f"WITH {DENSE} SELECT y, x, CASE WHEN (2*y-w+1)*(2*y-w+1) + (2*x-w+1)*(2*x-w+1) <= (w-3)*(w-3) THEN qty END AS v FROM dn")
@@ -233,15 +238,19 @@ def m01_content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
 
 
-@query(f"WITH {GRID_SQL} SELECT sha256(string_agg(CAST(cell_id AS VARCHAR), ',' ORDER BY cell_id)) AS sha FROM fp")
+BLOCKS = "b AS (SELECT cell_id // 4096 AS b, sha256(string_agg(CAST(cell_id AS VARCHAR), ',' ORDER BY cell_id)) AS h FROM {t} GROUP BY 1)"
+
+
+@query(f"WITH {GRID_SQL}, {BLOCKS.format(t='fp')} SELECT sha256(string_agg(h, ',' ORDER BY b)) AS sha FROM b")
 def m02_footprint_hash(spark, sf):
-    """The hash of the mask in its canonical text form."""
-    return footprint(spark, sf).agg(rules.content_id(F.col("cell_id")).alias("sha"))
+    """The hash of the mask in its canonical text form, by blocks."""
+    return rules.content_id(footprint(spark, sf), "cell_id", "sha")
 
 
-@query(f"WITH {GRID_SQL} SELECT substring(sha256(string_agg(CAST(cell_id AS VARCHAR), ',' ORDER BY cell_id)), 1, 12) AS id FROM fp WHERE p = '2-HIGH' AND st = 'O'")
+@query(f"WITH {GRID_SQL}, d AS (SELECT cell_id FROM fp WHERE p = '2-HIGH' AND st = 'O'), {BLOCKS.format(t='d')} SELECT substring(sha256(string_agg(h, ',' ORDER BY b)), 1, 12) AS id FROM b")
 def m03_scored_content_id(spark, sf):
-    return prediction(footprint(spark, sf)).agg(rules.content_id(F.col("cell_id"), 12).alias("id"))
+    d = rules.content_id(prediction(footprint(spark, sf)), "cell_id", "id")
+    return d.select(F.substring("id", 1, 12).alias("id"))
 
 
 @query()

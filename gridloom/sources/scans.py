@@ -59,11 +59,24 @@ def decode_runs(payloads: DataFrame, total: int) -> DataFrame:
     return got.select("mask", F.explode(F.sequence("a", "b")).alias("cell_id"))
 
 
-def mask_runs(cells: DataFrame, key: str) -> DataFrame:
-    """(start, n): runs of consecutive keys, by gaps and islands."""
-    r = cells.select(F.col(key).alias("k")).distinct()
-    r = r.withColumn("g", F.col("k") - F.row_number().over(Window.orderBy("k")))
-    return r.groupBy("g").agg(F.min("k").alias("start"), F.count("*").alias("n")).select("start", "n")
+def mask_runs(cells: DataFrame) -> DataFrame:
+    """(mask, start, n): runs of consecutive cell_id within each mask, by gaps and islands."""
+    r = cells.select("mask", "cell_id").distinct()
+    r = r.withColumn("g", F.col("cell_id") - F.row_number().over(Window.partitionBy("mask").orderBy("cell_id")))
+    return r.groupBy("mask", "g").agg(F.min("cell_id").alias("start"), F.count("*").alias("n")).select("mask", "start", "n")
+
+
+def packed_mask(cells: DataFrame, total: int) -> DataFrame:
+    """(mask, payload) of true cells (mask, cell_id): the inverse of `decode_runs`. A payload is one value, so its mask's runs meet in one task."""
+
+    def pack(runs: pd.DataFrame) -> pd.DataFrame:
+        lengths, at = [], 0
+        for start, n in zip(*(x.tolist() for x in (runs.sort_values("start")["start"], runs.sort_values("start")["n"])), strict=True):
+            lengths += [start - at, n]
+            at = start + n
+        return pd.DataFrame({"mask": runs["mask"].iloc[:1], "payload": [packed_runs([*lengths, total - at])]})
+
+    return mask_runs(cells).groupBy("mask").applyInPandas(pack, "mask string, payload binary")
 
 
 def header(lines: DataFrame, required: list[str], within: int = 200) -> DataFrame:
