@@ -619,6 +619,47 @@ def test_near_dedup_stage(spark, docs, rows, none):
     assert near_copies.keep_first(none).collect() == []
 
 
+def test_near_copies_in_one_bucket(spark):
+    """Twenty families share one bucket: members that no representative knows still find each other."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(20):
+        base = [f"f{i}w{k}" for k in rng.permutation(120)]
+        for k in range(4):
+            new = list(base)
+            new[10 + 25 * k] = "changed"
+            texts.append((100 * i + k, " ".join(new)))
+    texts.append((5_000, None))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    words = {d: near_copies.words_of(t) for d, t in texts}
+    made = [
+        (near_copies.node_key(w), (False, d, 0), len(h), near_copies.parity(h).tolist(), [7])
+        for d, w in words.items()
+        for h in [near_copies.hashes(w)]
+    ]
+    nodes = spark.createDataFrame(made, "node long, one struct<no_id:boolean,doc_id:long,text_hash:long>, size long, parity array<long>, bands array<long>")
+    hashed = docs.select("doc_id", near_copies.text_key(F.col("text")).alias("h"))
+    nodes = nodes.join(hashed, F.col("one.doc_id") == F.col("doc_id")).withColumn("one", F.struct(F.lit(False).alias("no_id"), "doc_id", F.col("h").alias("text_hash"))).drop("doc_id", "h")
+    doc_of = {m[0]: m[1][1] for m in made}
+    root = {r["node"]: r["root"] for r in simhash_dedup.components(near_copies.links(nodes, docs)).collect()}
+    groups = defaultdict(set)
+    for node, d in doc_of.items():
+        groups[root.get(node, node)].add(d)
+    want = jaccard_components(texts)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(d for d in want if want[d] == c) for c in set(want.values()))
+    assert len(groups) == 21
+
+
+def test_parity_never_rules_out_similar_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 7, 60, 900):
+        a = rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+        for k in (0, 1, n // 10, n // 2):
+            b = np.concatenate([a[k:], rng.integers(0, 1 << 63, k, dtype=np.int64).astype(np.uint64)])
+            bits = int(np.bitwise_count(near_copies.parity(a) ^ near_copies.parity(b)).sum())
+            assert bits <= 2 * k and (k < n // 2 or n < 60 or bits > 8)
+
+
 def test_empty_tables(spark, none):
     for df in (pii.report(none), license_scan.report(none), secret_scan.report(none, n_random=50), line_quality.report(none), mixing.report(none), langid.report(none), packing.report(none), ctw_score.report(none), simhash_dedup.report(none)):
         assert df.collect() == []
