@@ -155,3 +155,94 @@ def unigram(docs):
     c = Counter(w for d, ws in toks.items() if not held[d] for w in ws)
     n, v = sum(c.values()), len(c)
     return {d: (held[d], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for d, ws in toks.items()}
+
+
+def languages(rows, grams=4, bits=20, hashes=(2654435761, 2246822519, 3266489917), least=3, least_share=0.05):
+    """[(lang_pred, score)] of (doc_id, text, lang) rows: one set of slots for each language, looked up n-gram by n-gram."""
+
+    def of(text):
+        data = f" {text.lower()} ".encode()
+        for i in range(len(data) - grams + 1):
+            g = data[i : i + grams]
+            if any(97 <= b <= 122 or b >= 128 for b in g):
+                yield int.from_bytes(g, "little")
+
+    def slots(g):
+        return [((g * (h // 2 | 1)) % 2**32) >> (32 - bits) for h in hashes]
+
+    seen = {}
+    for d, t, lang in rows:
+        if lang is not None and t is not None and zlib.crc32(str("" if d is None else d).encode()) % 5:
+            seen.setdefault(lang, Counter()).update(of(t))
+    total = {lang: sum(c.values()) for lang, c in seen.items()}
+    rate = {lang: {g: n / total[lang] for g, n in c.items() if n >= least} for lang, c in seen.items()}
+    best = {}
+    for r in rate.values():
+        for g, x in r.items():
+            best[g] = max(best.get(g, 0), x)
+    filters = {lang: {s for g, x in rate[lang].items() if x >= least_share * best[g] for s in slots(g)} for lang in sorted(rate)}
+    wrong = {lang: (len(f) / 2**bits) ** len(hashes) for lang, f in filters.items()}
+    out = []
+    for _, t, _ in rows:
+        if t is None or not regex.search(r"\p{L}", t) or not filters:
+            out.append(("und", 0.0))
+            continue
+        asked = [slots(g) for g in of(t)]
+        share = {lang: max(0.0, sum(all(s in f for s in a) for a in asked) - len(asked) * wrong[lang]) / (1 - wrong[lang]) / max(len(asked), 1) for lang, f in filters.items()}
+        top = max(share, key=share.get)
+        if not share[top]:
+            top = max(filters, key=lambda lang: len(filters[lang]))
+        out.append((top, min(1.0, share[top])))
+    return out
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def patience(a, b, every=False):
+    """Numbers of words that patience alignment can match, by recursion and plain search for the longest
+    chain: over `every` longest chain where several are equally long, else over the first."""
+    n = 0
+    while a and b and a[0] == b[0]:
+        a, b, n = a[1:], b[1:], n + 1
+    while a and b and a[-1] == b[-1]:
+        a, b, n = a[:-1], b[:-1], n + 1
+    anchors = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    chains = []
+    for i, j in anchors:
+        before = [c for c in chains if c[-1][1] < j]
+        most = max(map(len, before), default=0)
+        longest = [c for c in before if len(c) == most] or [[]]
+        chains += [[*c, (i, j)] for c in (longest if every else longest[:1])]
+    most = max(map(len, chains), default=0)
+    kept = [c for c in chains if len(c) == most]
+    out = set()
+    for chain in kept if every else kept[:1]:
+        edges = [(-1, -1), *chain, (len(a), len(b))]
+        sums = {n + most}
+        for (i, j), (p, q) in zip(edges, edges[1:], strict=False):
+            sums = {x + y for x in sums for y in patience(a[i + 1 : p], b[j + 1 : q], every)}
+        out |= sums
+    return out or {n}
+
+
+def licenses(text, templates, threshold=0.8):
+    """Names of the templates that some window as long as the template covers."""
+    words = [w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", text or "")]
+    out = set()
+    for name, t in templates.items():
+        want = [w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", t)]
+        n, known = len(want), Counter(want)
+        for i in range(max(1, len(words) - n + 1)):
+            window = words[i : i + n]
+            if sum((Counter(window) & known).values()) >= threshold * n and max(patience(window, want)) >= threshold * n:
+                out.add(name)
+                break
+    return out

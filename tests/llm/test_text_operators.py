@@ -339,6 +339,15 @@ def test_langid(docs, rows):
     assert right >= 0.95 * total > 0
 
 
+def test_langid_against_plain_filters(docs, rows):
+    """Every prediction and score equals that of one plain set of slots for each language."""
+    want = defaultdict(set)
+    for (d, *_), (lang, score) in zip(rows, brute.languages([r[:3] for r in rows]), strict=True):
+        want[d].add((lang, round(score, 6)))
+    for d, found in by_id(langid.report(docs)).items():
+        assert {(r["lang_pred"], round(r["score"], 6)) for r in found} == want[d], d
+
+
 def test_langid_slices(monkeypatch):
     table = np.random.default_rng(1).integers(0, 16, (1, langid.SLOTS)).astype(np.uint8)
     text = "Größe und Länge, 12 " * 50
@@ -379,6 +388,44 @@ def test_licenses_back_to_back(key, copies):
     assert [(c, s, e) for _, c, s, e in got] == [(1.0, s, s + words[-1][2]) for s in starts]
 
 
+def damaged_licenses(seed):
+    """Texts with damaged templates between other words: words lost, changed, put in, or none of it."""
+    rng = np.random.default_rng(seed)
+    other = [f"other{i}" for i in range(30)] + ["the", "license", "software", "and", "of", "permission"]
+    for key, template in license_scan.TEMPLATES.items():
+        for loss in (0.0, 0.05, 0.12, 0.3):
+            out = list(rng.choice(other, rng.integers(0, 60)))
+            for w in [w for w, _, _ in license_scan.words_of(template)]:
+                x = rng.random()
+                out += [] if x < loss else [str(rng.choice(other))] if x < 1.5 * loss else [w, "inserted"] if x < 1.7 * loss else [w]
+            yield key, " ".join([*out, *rng.choice(other, rng.integers(0, 60))])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_licenses_against_every_window(spark, rows, seed):
+    """What any window of a template's length covers is found, and what is found is covered by its own span."""
+    texts = [t for _, t, *_ in rows[:: 3 + seed]] + [t for _, t in damaged_licenses(seed)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = 0
+    for r in license_scan.report(df).collect():
+        text = texts[r["doc_id"]] or ""
+        got = set(filter(None, r["licenses"].split(",")))
+        assert brute.licenses(text, license_scan.TEMPLATES) <= got, r["doc_id"]
+        for span in filter(None, r["spans"].split(",")):
+            name, s, e = span.rsplit(":", 2)
+            part, want = ([w for w, _, _ in license_scan.words_of(x)] for x in (text[int(s) : int(e)], license_scan.TEMPLATES[name]))
+            assert brute.common(part, want) >= license_scan.THRESHOLD * len(want) - 1e-6
+            hits += 1
+    assert hits > 15
+
+
+def test_alignment_equals_plain_recursion():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = (list(rng.choice(list("abcdefghijklmnop"), rng.integers(0, 14))) for _ in range(2))
+        assert len(license_scan.align(a, b)) in brute.patience(a, b, every=True), (a, b)
+
+
 def test_alignment_is_increasing():
     rng = np.random.default_rng(3)
     for _ in range(50):
