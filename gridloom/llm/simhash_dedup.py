@@ -6,8 +6,9 @@ brings them together: those are the trie's upper levels, where no error is spent
 field's trie is joined with itself: pairs of nodes go down together, one level at a time,
 adding up the bits in which they differ, and a pair goes no further once it has spent over
 the budget. Nodes are ranges of the sorted fingerprints, so a whole level is a few array
-operations. A field with over `hot` fingerprints is split by its next trie level: pairs of
-subtrees that are still within the budget become groups of their own.
+operations. A field with over `hot` fingerprints is split by its next six trie levels: pairs of
+subtrees that are still within the budget become groups of their own, and those that are still
+too large are split again, down to the leaves. So no task holds a crowded field whole.
 
 A task returns a spanning forest of its links, not the links, so groups of copies stay
 linear. Components come from alternating large-star and small-star rounds, each written to
@@ -35,7 +36,7 @@ SHINGLE, SEED, BUDGET = 4, 42, 4
 FIELDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Node pairs of at most so many leaf pairs are compared outright.
 LEAVES = 64
-#: Rows that a task gathers before it runs, and fingerprints from which a field is split.
+#: Rows that a task gathers before it runs, rows from which a group is split, and bits of one split.
 GATHER, HOT, SPLIT = 100_000, 100_000, 6
 
 
@@ -156,12 +157,16 @@ def _forest(keys: np.ndarray, fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, s
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: (g, fp, turn, lo, hi, sub). Whole groups are run together."""
-    held: list[np.ndarray] = []
+    """Rows sorted by group (g, lo, hi): (g, lo, hi, fp, turn, sub). Whole groups are run together."""
+
+    def starts(rows: list[np.ndarray]) -> np.ndarray:
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in rows[:3]])
+        return new
 
     def out(rows: list[np.ndarray]) -> pa.RecordBatch:
-        g, fp, turn, lo, hi, sub = rows
-        u, v = _forest(g, fp, lo, hi, sub, turn.astype(np.uint64))
+        _, lo, hi, fp, turn, sub = rows
+        u, v = _forest(np.cumsum(starts(rows)), fp, lo, hi, sub, turn.astype(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     waiting: list[list[np.ndarray]] = []
@@ -172,7 +177,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size < GATHER:
             continue
         held = [np.concatenate(c) for c in zip(*waiting, strict=True)]
-        last = np.searchsorted(held[0], held[0][-1])  # the last group may go on
+        last = int(np.flatnonzero(starts(held))[-1])  # the last group may go on
         if last:
             yield out([c[:last] for c in held])
         waiting = [[c[last:] for c in held]]
@@ -181,27 +186,45 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([np.concatenate(c) for c in zip(*waiting, strict=True)])
 
 
+def _split(rows: DataFrame, level: int) -> DataFrame:
+    """Rows of crowded groups, dealt to pairs of the subtrees SPLIT bits further down that the budget still allows."""
+    turned = F.expr("shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn)")
+    width = F.when(F.col("turn") == FIELDS[-1][0], FIELDS[-1][1]).otherwise(FIELDS[0][1])
+    rows = rows.withColumn("__x", turned).withColumn("__at", F.lit(64 - SPLIT * (level + 1)) - width)
+    rows = rows.withColumn("__s", F.expr(f"shiftrightunsigned(__x, __at) & {(1 << SPLIT) - 1}L"))
+    masks = F.array(*[F.lit(m).cast("long") for m in range(1 << SPLIT)])
+    left = F.lit(BUDGET) - F.bit_count(F.col("lo").bitwiseXOR(F.col("hi")))
+    rows = rows.withColumn("__m", F.explode(F.filter(masks, lambda m: F.bit_count(m) <= left)))
+    mine, other = F.col("__s"), F.col("__s").bitwiseXOR(F.col("__m"))
+    one, low = F.col("lo") == F.col("hi"), F.col("sub") == F.col("lo")
+    below = lambda prefix, bits: F.shiftleft(prefix, SPLIT).bitwiseOR(bits)
+    lo = below("lo", F.when(one, F.least(mine, other)).when(low, mine).otherwise(other))
+    hi = below("hi", F.when(one, F.greatest(mine, other)).when(low, other).otherwise(mine))
+    return rows.select("g", lo.alias("lo"), hi.alias("hi"), "fp", "turn", below("sub", mine).alias("sub"))
+
+
 def links(nodes: DataFrame, *, hot: int = HOT) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within the budget. nodes: distinct fp."""
     fields = []
     for r, (first, width) in enumerate(FIELDS):
         key = F.shiftrightunsigned("fp", 64 - first - width).bitwiseAND(F.lit((1 << width) - 1))
-        # the next SPLIT bits under this rotation, which begin where the field ends
-        after = (first + width) % 64
-        sub = F.shiftrightunsigned("fp", 64 - after - SPLIT).bitwiseAND(F.lit((1 << SPLIT) - 1)) if after + SPLIT <= 64 else F.lit(0)
-        fields.append(F.struct((key + F.lit(r << 13)).cast("long").alias("g"), F.lit(first).alias("turn"), sub.cast("int").alias("sub")))
-    seen = nodes.select("fp", F.explode(F.array(*fields)).alias("x")).select("fp", "x.*")
-    crowded = [r["g"] for r in seen.groupBy("g").count().where(F.col("count") > hot).select("g").collect()]  # at most 5 * 8192
-    whole = seen.where(~F.col("g").isin(crowded)) if crowded else seen
-    rows = whole.select((F.col("g") * 4096).alias("g"), "fp", "turn", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(-1).alias("sub"))
-    if crowded:
-        masks = [m for m in range(1 << SPLIT) if bin(m).count("1") <= BUDGET]
-        other = F.col("sub").bitwiseXOR(F.col("mask"))
-        some = seen.where(F.col("g").isin(crowded)).withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-        some = some.withColumn("lo", F.least("sub", other)).withColumn("hi", F.greatest("sub", other))
-        rows = rows.unionByName(some.select((F.col("g") * 4096 + F.col("lo") * (1 << SPLIT) + F.col("hi")).alias("g"), "fp", "turn", "lo", "hi", "sub"))
-    rows = rows.repartition("g").sortWithinPartitions("g")
-    return rows.mapInArrow(_link, "u long, v long")
+        fields.append(F.struct((key + F.lit(r << 13)).cast("long").alias("g"), F.lit(first).alias("turn")))
+    # a group is a pair of subtrees of one field; their paths begin with a 1, so that each length has its own numbers
+    top = [F.lit(1).cast("long").alias(c) for c in ("lo", "hi", "sub")]
+    group = ["g", "lo", "hi"]
+    rows = nodes.select("fp", F.explode(F.array(*fields)).alias("x")).select("x.g", *top[:2], "fp", "x.turn", top[2])
+    done = []
+    for level in range((64 - FIELDS[0][1]) // SPLIT):
+        sizes = rows.groupBy(*group).agg(F.count("*").alias("n"), (F.min("sub") != F.max("sub")).alias("both")).where(F.col("n") > hot)
+        sizes = materialise(sizes.withColumn("alive", F.col("both") | (F.col("lo") == F.col("hi"))), "crowded")
+        if not sizes.limit(1).count():
+            break
+        done.append(rows.join(sizes, group, "left_anti"))
+        # subtrees without a partner within the budget have no links here
+        rows = materialise(_split(rows.join(sizes.where("alive"), group, "left_semi"), level), "split")
+    for part in done:
+        rows = rows.unionByName(part)
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_link, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
