@@ -1,11 +1,12 @@
 """Collocations: phrases that occur together far more often than their parts do apart.
 
-Texts are cut at punctuation into pieces, pieces into words. In three rounds all grams are exploded into
-rows and summed by language: words, pairs, then those of 3 to `max_n` words. A gram is seen no more often
-than any part of it, so a round leaves out at once what holds a word (a pair, in the third) that is
-seen fewer than `least` times and cannot be asked for: rows meet the hash slots of those that are often
-enough, `SLOTS` at most, whatever the corpus; a shared slot only lets more through, and sums are
-exact. Spark adds up each task's rows before it deals them, so frequent grams are no hot keys.
+Texts are cut at punctuation into pieces, pieces into words; these are written once. Grams are exploded into rows and summed by language, size
+by size. A gram is seen no more often than any part of it, so a round leaves out at once what begins or ends with a
+gram that is seen fewer than `least` times and cannot be asked for: rows meet the hash slots of those that are
+often enough, `SLOTS` at most, whatever the corpus; a shared slot only lets more through. Most grams are rare,
+so all but the longest are first summed by a 64-bit hash of language and text, and by the text itself in the next round, where
+only those with a frequent hash are left; sums that count are of texts. Spark adds up each task's rows
+before it deals them, so frequent grams are no hot keys.
 Candidates meet the counts of their first and last words by joins, one for each cut; scores are decimals;
 a phrase that a one-word extension nearly always surrounds is dropped by an anti-join. (A longer
 phrase around it implies such an extension: counts only fall as phrases grow.) Ranks come from a
@@ -29,57 +30,73 @@ from pyspark.sql.window import Window
 
 from gridloom.llm._shared import materialise
 
-#: Where pieces end, and what lies between words.
-ENDS, GAPS, EITHER = r"[.,;:!?\x0A-\x0D]+", r"[\x20\x09]+", r"[.,;:!?\x09-\x0D\x20]+"
+#: Where pieces end, and what else lies between words: the first of each stands for all.
+ENDS, GAPS = "\n.,;:!?\x0b\x0c\r", " \t"
 #: Starts of grams that one row carries; hash slots of frequent grams: at most so many rows of one number are broadcast.
-RUN, SLOTS = 64, 1 << 20
+RUN, SLOTS = 64, 1 << 21
 WIDE = "decimal(38,0)"
 
 
-def _text() -> Column:
-    return F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
+def runs(docs: DataFrame, max_n: int) -> DataFrame:
+    """(lang, w): the words of every piece, or of its overlapping runs."""
+    other = ascii_uppercase + ENDS[1:] + GAPS[1:]
+    plain = ascii_lowercase + ENDS[0] * (len(ENDS) - 1) + GAPS[0] * (len(GAPS) - 1)
+    text = F.translate(F.coalesce("text", F.lit("")), other, plain)
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, ENDS[0])).alias("piece")).where("piece <> ''")
+    rows = rows.select("lang", F.array_remove(F.split("piece", GAPS[0]), "").alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / RUN))
+    many = F.transform(starts, lambda i: F.slice("w", (i * RUN + 1).cast("int"), RUN + max_n - 1))
+    return rows.select("lang", F.explode(F.when(F.size("w") <= RUN, F.array("w")).otherwise(many)).alias("w"))
 
 
-def _lang() -> Column:
-    return F.coalesce("lang", F.lit("und")).alias("lang")
+def words(taken: DataFrame) -> DataFrame:
+    """(lang, phrase, size, f): every word of `runs` and its occurrences."""
+    rows = taken.select("lang", F.posexplode("w").alias("i", "phrase")).where(F.col("i") < RUN)
+    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f")).select("lang", "phrase", F.lit(1).alias("size"), "f")
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """(lang, phrase, size, f): every word and its occurrences."""
-    rows = docs.select(_lang(), F.explode(F.split(_text(), EITHER)).alias("phrase")).where("phrase <> ''")
-    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f")).select("lang", "phrase", F.lit(1).alias("size"), "f")
+def places(taken: DataFrame, size: int) -> DataFrame:
+    """(lang, w1 .. w<size>): a row for every word of `runs`, with the words that follow it in its piece."""
+    at = taken.select("lang", "w", F.posexplode("w").alias("i", "w1")).where(F.col("i") < RUN)
+    return at.select("lang", "w1", *[F.get("w", F.col("i") + k).alias(f"w{k + 1}") for k in range(1, size)])
 
 
-def places(docs: DataFrame, max_n: int) -> DataFrame:
-    """(lang, i, w1 .. w<max_n>): a row for every word of every piece, with the words that follow; i is its place in the run."""
-    rows = docs.select(_lang(), F.explode(F.split(_text(), ENDS)).alias("piece"))
-    rows = rows.withColumn("piece", F.expr(r"trim(BOTH ' \t' FROM piece)")).where("piece <> ''")
-    rows = rows.select("lang", F.split("piece", GAPS).alias("w"))
-    starts = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / RUN))
-    many = F.transform(starts, lambda i: F.slice("w", (i * RUN + 1).cast("int"), RUN + max_n - 1))
-    rows = rows.select("lang", F.explode(F.when(F.size("w") <= RUN, F.array("w")).otherwise(many)).alias("w"))
-    at = rows.select("lang", "w", F.posexplode("w").alias("i", "w1")).where(F.col("i") < RUN)
-    return at.select("lang", "i", "w1", *[F.get("w", F.col("i") + k).alias(f"w{k + 1}") for k in range(1, max_n)])
+def _key(*parts: Column) -> Column:
+    return F.xxhash64("lang", F.concat_ws(" ", *parts))
+
+
+def _slots(keys: DataFrame, out: str) -> DataFrame:
+    return F.broadcast(keys.select(F.pmod("key", F.lit(SLOTS)).alias(out)).distinct())
 
 
-def _slot(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64("lang", F.concat_ws(" ", *parts)), F.lit(SLOTS))
+def gram_round(taken: DataFrame, parts: DataFrame, size: int, last: bool) -> DataFrame:
+    """(lang, phrase, key, n, f) of grams of `size` words both of whose parts, of one word less, have their hash among `parts`
+    (key): by their text if they are the last, else by their hash. And by text, the parts themselves, if they are more than words."""
+    at, names = places(taken, size), [F.col(f"w{j + 1}") for j in range(size)]
+    at = at.withColumn("k0", _key(*names[:-1])).where(names[-2].isNotNull())
+    at = at.join(_slots(parts, "s0"), F.pmod("k0", F.lit(SLOTS)) == F.col("s0"))
+    at = at.withColumn("k1", F.when(names[-1].isNotNull(), _key(*names[1:])))
+    at = at.join(_slots(parts, "s1"), F.pmod("k1", F.lit(SLOTS)) == F.col("s1"), "left" if size > 2 else "inner")
+    entry = lambda phrase, key, n: F.struct(phrase.cast("string").alias("phrase"), key.cast("long").alias("key"), F.lit(n).alias("n"))
+    null = F.lit(None)
+    whole = entry(F.concat_ws(" ", *names), null, size) if last else entry(null, _key(*names), size)
+    out = [F.when(F.col("s1").isNotNull(), whole)]
+    if size > 2:
+        out.append(entry(F.concat_ws(" ", *names[:-1]), null, size - 1))
+    rows = at.select("lang", F.explode(F.array(*out)).alias("g")).where("g IS NOT NULL")
+    rows = rows.select(F.when(F.col("g.key").isNull(), F.col("lang")).alias("lang"), "g.*")
+    return rows.groupBy("lang", "phrase", "key", "n").agg(F.count("*").alias("f"))
 
 
-def longer_grams(docs: DataFrame, known: DataFrame, k: int, max_n: int, least: int) -> DataFrame:
-    """(lang, phrase, size, f): the grams of k + 1 to max_n words that occur `least` times, given those of k words that do."""
-    slots = F.broadcast(known.select(_slot(F.col("phrase")).alias("slot")).distinct())
-    at, names = places(docs, max_n), [F.col(f"w{j + 1}") for j in range(max_n)]
-    for j in range(max_n - k + 1):
-        here = F.when(names[j + k - 1].isNotNull(), _slot(*names[j : j + k]))
-        at = at.join(slots.withColumnRenamed("slot", f"s{j}"), here == F.col(f"s{j}"), "inner" if j < 2 else "left")
-    found, often = [], F.lit(True)
-    for size in range(k + 1, max_n + 1):
-        often = often & F.col(f"s{size - k}").isNotNull()
-        found.append(F.when(often, F.struct(F.concat_ws(" ", *names[:size]).alias("phrase"), F.lit(size).alias("size"))))
-    rows = at.select("lang", F.explode(F.array(*found)).alias("g")).where("g IS NOT NULL")
-    sums = rows.groupBy("lang", F.col("g.phrase").alias("phrase"), F.col("g.size").alias("size")).agg(F.count("*").alias("f"))
-    return sums.where(F.col("f") >= least)
+def grams(taken: DataFrame, often: DataFrame, max_n: int, least: int) -> DataFrame:
+    """(lang, phrase, size, f): the grams of 2 to max_n words that occur `least` times, given the words that do."""
+    parts, found = often.select(F.xxhash64("lang", "phrase").alias("key")), None
+    for size in range(2, max_n + 1):
+        got = materialise(gram_round(taken, parts, size, size == max_n).where(F.col("f") >= least), f"grams-{size}")
+        parts = got.where("key IS NOT NULL").select("key")
+        texts = got.where("key IS NULL").select("lang", "phrase", F.col("n").alias("size"), "f")
+        found = texts if found is None else found.unionByName(texts)
+    return found
 
 
 def collocations(docs: DataFrame, *, max_n: int = 4, least: int = 30, share: int = 80, scale: int = 1_000_000, top: int = 2000) -> DataFrame:
@@ -88,15 +105,13 @@ def collocations(docs: DataFrame, *, max_n: int = 4, least: int = 30, share: int
     a counts the phrase, l and r its two parts at the cut of least score 2 * scale * a / (l + r), rounded
     down; n counts the language's words. Phrases that an extension surrounds in `share` percent of their places are left out.
     """
-    single = words(docs)
+    taken = materialise(runs(docs, max_n), "runs", compression="zstd")
+    single = words(taken)
     rare = F.when(F.col("f") >= least, F.col("phrase")).alias("phrase")  # rare words only as their sum, under null
     single = materialise(single.groupBy("lang", rare, "size").agg(F.sum("f").alias("f")), "words")
     total = single.groupBy("lang").agg(F.sum("f").alias("n"))
     single = single.where("phrase IS NOT NULL")
-    pairs = materialise(longer_grams(docs, single, 1, 2, least), "pairs")
-    often = single.unionByName(pairs)
-    if max_n > 2:
-        often = often.unionByName(materialise(longer_grams(docs, pairs, 2, max_n, least), "grams"))
+    often = single.unionByName(grams(taken, single, max_n, least))
     part = often.select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"))
     found = often.where("size > 1").withColumnRenamed("f", "a")
     cut = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
