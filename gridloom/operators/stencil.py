@@ -179,19 +179,6 @@ def line_offsets(n_azimuths: int, half: int, flank: int = 0) -> list[tuple[int,
     return out
 
 
-def lineament(df: DataFrame, value: str, *, half: int = 4, flank: int = 3, n_azimuths: int = 8) -> DataFrame:
-    """(y, x, response): along-strike mean less the larger flank mean, largest over azimuths; only
-    azimuths with all cells present count."""
-    offsets = line_offsets(n_azimuths, half, flank)
-    k = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(p).alias("p"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for a, p, dy, dx in offsets])
-    hit = df.where(F.col(value).isNotNull()).select("y", "x", F.col(value).alias("__v"), F.explode(k).alias("k"))
-    hit = hit.select((F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), "k.a", "k.p", "__v")
-    n = 2 * half + 1
-    part = lambda p: F.sum(F.when(F.col("p") == p, F.col("__v"))) / n
-    one = hit.groupBy("y", "x", "a").agg(F.count("*").alias("c"), part(0).alias("m"), part(-1).alias("l"), part(1).alias("r")).where(F.col("c") == 3 * n)
-    return one.groupBy("y", "x").agg(F.max(F.col("m") - F.greatest("l", "r")).alias("response"))
-
-
 def neighbour_counts(df: DataFrame) -> DataFrame:
     """Cells of a mask with the number of their eight neighbours in it."""
     ring = [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
@@ -226,32 +213,3 @@ def ridges(df: DataFrame, value: str, sigma: float, n: tuple[int, int]) -> DataF
     for c in at.values():
         whole = whole & c.isNotNull()
     return df.where(whole & (v > 0) & (F.col("__low") < 0) & top).select("y", "x", value)
-
-
-def whole_grid(df: DataFrame, value: str, out: str, fn, n: tuple[int, int]) -> DataFrame:
-    """(y, x, out): a function of the whole dense array, for operators that are not local.
-
-    One task holds the grid; use it only where no local form exists.
-    """
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        a = np.zeros(n)
-        a[pdf["y"], pdf["x"]] = pdf[value].fillna(0.0)
-        b = fn(a)
-        return pd.DataFrame({"y": pdf["y"], "x": pdf["x"], out: b[pdf["y"], pdf["x"]]})
-
-    cells = df.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(value).cast("double").alias(value), F.lit(0).alias("__all"))
-    return cells.groupBy("__all").applyInPandas(run, f"y long, x long, {out} double")
-
-
-def vertical_derivative(a, pad_cells: int = 16):
-    """|k| in the Fourier domain, on a mirrored border."""
-    import numpy as np
-
-    b = np.pad(a, pad_cells, mode="symmetric")
-    ky, kx = np.fft.fftfreq(b.shape[0])[:, None], np.fft.rfftfreq(b.shape[1])[None, :]
-    f = np.fft.irfft2(np.fft.rfft2(b) * 2 * np.pi * np.hypot(ky, kx), s=b.shape)
-    return f[pad_cells : pad_cells + a.shape[0], pad_cells : pad_cells + a.shape[1]]

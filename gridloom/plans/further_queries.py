@@ -124,35 +124,6 @@ def c16_structure_tensor(spark, sf):
     return _out(d.where("syy + sxx > 1e-9").withColumn("c", F.sqrt(gap * gap + 4 * F.col("sxy") * F.col("sxy")) / sum_), "c")
 
 
-@query()
-def c26_vertical_derivative(spark, sf):
-    """Not local: one task holds the grid."""
-    d, n = _dense(spark, sf)
-    return st.whole_grid(d, "qty", "f", st.vertical_derivative, n).select("y", "x", F.round("f", 6).alias("value"))
-
-
-EUL = "s AS (SELECT q.y - a AS y, q.x - b AS x, count(*) AS n, sum(b * b) AS uu, sum(a * a) AS vv, sum(z) AS sz, sum(b * z) AS uz, sum(a * z) AS vz FROM q, range(-3, 4) r(a), range(-3, 4) t(b) GROUP BY 1, 2 HAVING count(*) = 49)"
-
-
-@query(f"WITH {GRID_SQL}, q AS (SELECT y, x, qty AS z FROM g WHERE qty IS NOT NULL), {EUL} SELECT y, x, round(sz / 49, 6) AS mean, round(uz / uu, 6) AS dx, round(vz / vv, 6) AS dy FROM s")
-def c28_window_equations(spark, sf):
-    """Normal equations of a plane in 7 x 7 windows; off-diagonal moments vanish on whole windows."""
-    q = cells(spark, sf, items=True).where("qty IS NOT NULL").select("y", "x", F.col("qty").alias("z"))
-    k = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-3, 4) for b in range(-3, 4)])
-    s = q.withColumn("k", F.explode(k)).select((F.col("y") - F.col("k.a")).alias("y"), (F.col("x") - F.col("k.b")).alias("x"), "k.a", "k.b", "z")
-    s = s.groupBy("y", "x").agg(F.count("*").alias("n"), F.sum(F.col("b") * F.col("b")).alias("uu"), F.sum(F.col("a") * F.col("a")).alias("vv"), F.sum("z").alias("sz"), F.sum(F.col("b") * F.col("z")).alias("uz"), F.sum(F.col("a") * F.col("z")).alias("vz")).where("n = 49")
-    return s.select("y", "x", F.round(F.col("sz") / 49, 6).alias("mean"), F.round(F.col("uz") / F.col("uu"), 6).alias("dx"), F.round(F.col("vz") / F.col("vv"), 6).alias("dy"))
-
-
-@query(f"WITH {GRID_SQL} SELECT y + CAST(round_even((cell_id % 7) / 2.0 - 1.5, 0) AS BIGINT) AS y, x + CAST(round_even((cell_id % 5) / 2.0 - 1.0, 0) AS BIGINT) AS x, count(*) AS hits, round(sum(v), 4) AS total FROM fp GROUP BY 1, 2")
-def c29_scatter_solutions(spark, sf):
-    """Solutions gathered where they point to; halves round to even."""
-    fp = footprint(spark, sf)
-    y = F.col("y") + F.rint((F.col("cell_id") % 7) / 2.0 - 1.5).cast("long")
-    x = F.col("x") + F.rint((F.col("cell_id") % 5) / 2.0 - 1.0).cast("long")
-    return fp.groupBy(y.alias("y"), x.alias("x")).agg(F.count("*").alias("hits"), F.round(F.sum("v"), 4).alias("total"))
-
-
 @query(f"""WITH {DENSE}, {smooth_sql('dn', 'qty', 1.0, 's')}, {mag_sql('s', 's', 'm1')}, {smooth_sql('dn', 'qty', 2.0, 't')}, {mag_sql('t', 's', 'm2')}
 SELECT m1.y, m1.x, round(greatest(m1.m, m2.m), 6) AS best, CASE WHEN m1.m >= m2.m THEN 1 ELSE 2 END AS sigma FROM m1 JOIN m2 USING (y, x) WHERE m1.m IS NOT NULL AND m2.m IS NOT NULL""")
 def c37_multiscale_edges(spark, sf):
@@ -162,20 +133,6 @@ def c37_multiscale_edges(spark, sf):
     return b.select("y", "x", F.round(F.greatest("a", "b"), 6).alias("best"), F.when(F.col("a") >= F.col("b"), 1).otherwise(2).alias("sigma"))
 
 
-RAYS = [(i, s * dy, s * dx, s) for i, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))) for s in range(1, 6)]
-RAY_SQL = ", ".join(f"({i}, {y}, {x}, {s})" for i, y, x, s in RAYS)
-
-
-@query(f"WITH {GRID_SQL}, a AS (SELECT c.y, c.x, k.i, max((n.v - c.v) / 1000 / k.s) AS t FROM fp c, (VALUES {RAY_SQL}) k(i, dy, dx, s), g n WHERE n.y = c.y + k.dy AND n.x = c.x + k.dx GROUP BY ALL) SELECT y, x, round(avg(90 - degrees(atan(t))), 4) AS openness FROM a GROUP BY y, x")
-def c42_openness(spark, sf):
-    """Mean over eight rays of the zenith angle of the highest sight line."""
-    fp = footprint(spark, sf).select("y", "x", F.col("v").alias("c"))
-    k = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(-y).alias("dy"), F.lit(-x).alias("dx"), F.lit(s).alias("s")) for i, y, x, s in RAYS])
-    n = cells(spark, sf).select("y", "x", "v", F.explode(k).alias("k")).select((F.col("y") + F.col("k.dy")).alias("y"), (F.col("x") + F.col("k.dx")).alias("x"), "v", "k.i", "k.s")
-    t = n.join(fp, ["y", "x"]).groupBy("y", "x", "i").agg(F.max((F.col("v") - F.col("c")) / 1000 / F.col("s")).alias("t"))
-    return t.groupBy("y", "x").agg(F.round(F.avg(90 - F.degrees(F.atan("t"))), 4).alias("openness"))
-
-
 @query(f"WITH {GRID_SQL}, b AS (SELECT avg(v) AS mv, avg(disc) AS md, covar_pop(v, disc) / (var_pop(disc) + 0.01) AS k FROM g WHERE disc IS NOT NULL), r AS (SELECT cell_id, round(v - mv - k * (disc - md), 6) AS e FROM g, b WHERE disc IS NOT NULL) SELECT cell_id, round((row_number() OVER (ORDER BY e, cell_id) - 0.5) / count(*) OVER (), 6) AS value FROM r")
 def e14_residual_rank(spark, sf):
     """Rank of what ridge on one nuisance leaves, from sums alone."""

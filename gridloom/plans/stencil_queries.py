@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import quantile01, robust_z
 from gridloom.operators import stencil as st
+from gridloom.operators import tiles
 from gridloom.operators.distance import eroded
 from gridloom.plans.registry import query
 from gridloom.sources.cells import GRID_SQL, cells, footprint, spec, truth
@@ -193,8 +194,9 @@ LINES = ", ".join(f"({a}, {p}, {y}, {x})" for a, p, y, x in st.line_offsets(8, 4
 @query(f"""WITH {GRID_SQL}, s AS (SELECT g.y - k.dy AS y, g.x - k.dx AS x, k.a, k.p, g.v / 1000 AS v FROM g, (VALUES {LINES}) k(a, p, dy, dx)),
 o AS (SELECT y, x, a, sum(v) FILTER (p = 0) / 9 AS m, sum(v) FILTER (p = -1) / 9 AS l, sum(v) FILTER (p = 1) / 9 AS r FROM s GROUP BY y, x, a HAVING count(*) = 27) SELECT y, x, round(max(m - greatest(l, r)), 6) AS value FROM o GROUP BY y, x""")
 def c19_lineament_response(spark, sf):
-    g = cells(spark, sf).withColumn("v", F.col("v") / 1000)
-    return st.lineament(g, "v").select("y", "x", F.round("response", 6).alias("value"))
+    n = (spec(spark, sf).width,) * 2
+    got = tiles.tiled(cells(spark, sf).select("y", "x", F.col("v") / 1000).toDF("y", "x", "a"), ["a"], lambda z: {"r": tiles.lineament(z["a"])}, ["r"], n, halo=7)
+    return _out(got, "r")
 
 
 LINES0 = ", ".join(f"({a}, {y}, {x})" for a, _, y, x in st.line_offsets(8, 4))
@@ -203,40 +205,33 @@ LINES0 = ", ".join(f"({a}, {y}, {x})" for a, _, y, x in st.line_offsets(8, 4))
 @query(f"""WITH {GRID_SQL}, s AS (SELECT g.y - k.dy AS y, g.x - k.dx AS x, k.a, g.v / 1000 AS v FROM g, (VALUES {LINES0}) k(a, dy, dx)), o AS (SELECT y, x, a, sum(v) / 9 AS m FROM s GROUP BY y, x, a HAVING count(*) = 9),
 b AS (SELECT y, x, max(m) - avg(m) AS boost FROM o GROUP BY y, x), q AS (SELECT quantile_cont(boost, 0.99) AS p99 FROM b) SELECT y, x, round(least(1, boost / p99), 6) AS value FROM b, q""")
 def c20_ridge_coherence(spark, sf):
-    k = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(y).alias("dy"), F.lit(x).alias("dx")) for a, _, y, x in st.line_offsets(8, 4)])
-    s = cells(spark, sf).select("y", "x", (F.col("v") / 1000).alias("v"), F.explode(k).alias("k")).select((F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), "k.a", "v")
-    o = s.groupBy("y", "x", "a").agg((F.sum("v") / 9).alias("m"), F.count("*").alias("n")).where("n = 9")
-    b = o.groupBy("y", "x").agg((F.max("m") - F.avg("m")).alias("boost"))
+    def boost(z):
+        best, mean = tiles.strike_means(z["a"])
+        return {"boost": best - mean}
+
+    n = (spec(spark, sf).width,) * 2
+    b = tiles.tiled(cells(spark, sf).select("y", "x", F.col("v") / 1000).toDF("y", "x", "a"), ["a"], boost, ["boost"], n, halo=4).where("boost IS NOT NULL")
     q = b.agg(F.percentile("boost", 0.99).alias("p99"))
     return b.join(F.broadcast(q)).select("y", "x", F.round(F.least(F.lit(1.0), F.col("boost") / F.col("p99")), 6).alias("value"))
 
 
-def _ring(radius: float, width: float = 1.5) -> list[tuple[int, int, float, float]]:
-    r = range(-int(radius + width), int(radius + width) + 1)
-    return [(y, x, y / math.hypot(y, x), x / math.hypot(y, x)) for y in r for x in r if (y or x) and abs(math.hypot(y, x) - radius) <= width / 2]
-
-
-RING = ", ".join(f"({y}, {x}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for y, x, a, b in _ring(4))
+RING = ", ".join(f"({y}, {x}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for y, x, a, b in tiles.ring(4))
 
 
 @query(f"SELECT dy, dx, round(uy, 6) AS uy, round(ux, 6) AS ux FROM (VALUES {RING}) k(dy, dx, uy, ux)")
 def c21_annular_kernel(spark, sf):
-    k = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx"), F.lit(a).alias("uy"), F.lit(b).alias("ux")) for y, x, a, b in _ring(4)])
+    k = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx"), F.lit(a).alias("uy"), F.lit(b).alias("ux")) for y, x, a, b in tiles.ring(4)])
     return spark.range(1).select(F.explode(k).alias("k")).select("k.dy", "k.dx", F.round("k.uy", 6).alias("uy"), F.round("k.ux", 6).alias("ux"))
 
 
 @query(f"""WITH {DENSE}, q AS (SELECT y, x, v / 1000 AS a FROM dn), gr AS (SELECT y, x, {grad_sql('q', 'a', 'y', 'gy')}, {grad_sql('q', 'a', 'x', 'gx')} FROM q),
 s AS (SELECT gr.y - dy AS y, gr.x - dx AS x, gy * uy + gx * ux AS r, sqrt(gy * gy + gx * gx) AS m FROM gr, (VALUES {RING}) k(dy, dx, uy, ux) WHERE gy + gx IS NOT NULL)
-SELECT y, x, round(sum(r) / sum(m), 6) AS value FROM s GROUP BY y, x HAVING count(*) = {len(_ring(4))}""")
+SELECT y, x, round(sum(r) / sum(m), 6) AS value FROM s GROUP BY y, x HAVING count(*) = {len(tiles.ring(4))}""")
 def c22_radial_coherence(spark, sf):
     """Share of a ring's gradient that points outward; only where the whole ring is valid."""
-    d, _ = _dense(spark, sf)
-    d = d.withColumn("a", F.col("v") / 1000)
-    gr = st.gradient(st.gradient(d, "a", "y", "gy"), "a", "x", "gx").where("gy + gx IS NOT NULL")
-    k = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx"), F.lit(a).alias("uy"), F.lit(b).alias("ux")) for y, x, a, b in _ring(4)])
-    s = gr.select("y", "x", "gy", "gx", F.explode(k).alias("k"))
-    s = s.select((F.col("y") - F.col("k.dy")).alias("y"), (F.col("x") - F.col("k.dx")).alias("x"), (F.col("gy") * F.col("k.uy") + F.col("gx") * F.col("k.ux")).alias("r"), F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx")).alias("m"))
-    return s.groupBy("y", "x").agg(F.count("*").alias("n"), F.round(F.sum("r") / F.sum("m"), 6).alias("value")).where(F.col("n") == len(_ring(4))).drop("n")
+    n = (spec(spark, sf).width,) * 2
+    got = tiles.tiled(cells(spark, sf).select("y", "x", F.col("v") / 1000).toDF("y", "x", "a"), ["a"], lambda z: {"c": tiles.ring_coherence(*tiles.slopes(z["a"]), 4)}, ["c"], n, halo=6)
+    return _out(got, "c")
 
 
 SOBEL_Y = [(a, b, a * (2.0 if b == 0 else 1.0)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a]
@@ -278,31 +273,6 @@ def c27_moment_kernel(spark, sf):
     return k.select("v", "u", (F.col("v") * F.col("v")).alias("vv"), (F.col("u") * F.col("u")).alias("uu"), (F.col("v") * F.col("u")).alias("uv"))
 
 
-@query(f"""WITH {DENSE}, q AS (SELECT y, x, w, v / 1000 AS a FROM dn), i AS (SELECT c.y, c.x, c.w, ((f.a - c.a) * (f.a - c.a) + (b.a - c.a) * (b.a - c.a)) / 4 AS e FROM q c LEFT JOIN q f ON f.y = c.y AND f.x = c.x + 2 LEFT JOIN q b ON b.y = c.y AND b.x = c.x - 2),
-{smooth_sql('i', 'e', 1.0, 's')} SELECT y, x, round(s, 4) AS value FROM s WHERE s IS NOT NULL""")
-def c31_directional_semivariance(spark, sf):
-    """Half mean squared forward and backward increments at lag 2 along x, smoothed."""
-    d, n = _dense(spark, sf)
-    d = d.withColumn("a", F.col("v") / 1000)
-    f, b = st.tap("a", "x", 2) - F.col("a"), st.tap("a", "x", -2) - F.col("a")
-    d = d.withColumn("e", (f * f + b * b) / 4)
-    return st.smoothed(d, "e", "s", 1.0, n).where("s IS NOT NULL").select("y", "x", F.round("s", 4).alias("value"))
-
-
-@query(f"WITH {GRID_SQL} SELECT c.y, c.x, round(ln(f.v + 1e-3) - ln(b.v + 1e-3), 6) AS value FROM g c JOIN g f ON f.y = c.y AND f.x = c.x + 5 JOIN g b ON b.y = c.y AND b.x = c.x - 5")
-def c32_two_sided_log_jump(spark, sf):
-    g = cells(spark, sf)
-    both = st.shifted(g, 0, 5, "v", "f").join(st.shifted(g, 0, -5, "v", "b"), ["y", "x"]).join(g.select("y", "x"), ["y", "x"], "left_semi")
-    return both.select("y", "x", F.round(F.ln(F.col("f") + 1e-3) - F.ln(F.col("b") + 1e-3), 6).alias("value"))
-
-
-@query(f"WITH {GRID_SQL} SELECT c.y, c.x, round(f.v - b.v, 6) AS value FROM g c JOIN g f ON f.y = c.y + 5 AND f.x = c.x JOIN g b ON b.y = c.y - 5 AND b.x = c.x")
-def c33_two_sided_difference(spark, sf):
-    g = cells(spark, sf)
-    both = st.shifted(g, 5, 0, "v", "f").join(st.shifted(g, -5, 0, "v", "b"), ["y", "x"]).join(g.select("y", "x"), ["y", "x"], "left_semi")
-    return both.select("y", "x", F.round(F.col("f") - F.col("b"), 6).alias("value"))
-
-
 @query(f"WITH {DENSE} SELECT d.y, d.x, n.v AS value FROM dn d JOIN dn n ON n.y = greatest(0, least(d.w - 1, d.y + 3)) AND n.x = greatest(0, least(d.w - 1, d.x - 2)) WHERE n.v IS NOT NULL")
 def c34_clamped_shift(spark, sf):
     d, (h, w) = _dense(spark, sf)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
-from gridloom.operators import distance, emit, folds, metric, rules, similarity, stencil
+from gridloom.operators import distance, emit, folds, metric, rules, similarity, stencil, tiles
 from gridloom.sources import scans
 
 
@@ -173,7 +173,7 @@ def test_gate(spark):
 def test_lineament_prefers_lines(spark):
     line = grid(spark, 31, 31, lambda y, x: math.exp(-((y - 15) ** 2) / 4))
     blob = grid(spark, 31, 31, lambda y, x: math.exp(-((y - 15) ** 2 + (x - 15) ** 2) / 4))
-    at = lambda g: values(stencil.lineament(g, "v"), "response")[15, 15]
+    at = lambda g: values(tiles.tiled(g, ["v"], lambda z: {"response": tiles.lineament(z["v"])}, ["response"], (31, 31), 7), "response")[15, 15]
     assert at(line) > 1.5 * at(blob)
 
 
