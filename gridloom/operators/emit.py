@@ -73,7 +73,8 @@ def cover(
     df: DataFrame, weight: str, key: str, *, k: int, radius: int = 3, spacing: float = 0.0,
     candidates: DataFrame | None = None, existing: DataFrame | None = None, cost: str | None = None, pool: int | None = None,
 ) -> DataFrame:
-    """k dots by greedy kernel coverage: each adds sum w * max(0, kernel - covered so far), less its cost.
+    """k dots by greedy kernel coverage: each adds sum w * max(0, kernel - covered so far), less its cost; w is the weight
+    within [0, 1], none counts as 0.
 
     A dot's gain depends only on dots nearer than twice the radius, so in each round every
     undecided cell whose gain is the largest within that reach is what the sequential greedy takes before
@@ -85,7 +86,8 @@ def cover(
     """
     kern = triangular(radius)
     reach = _within(max(2 * radius, spacing))
-    demand = written(df.select("y", "x", F.col(weight).alias("wt")))
+    within = F.least(F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    demand = written(df.select("y", "x", within.alias("wt")))
     some = df if candidates is None else candidates
     if pool is not None:
         some = some.orderBy(F.desc(weight), key).limit(pool)
