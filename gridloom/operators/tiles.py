@@ -75,6 +75,48 @@ def gaussian(a: np.ndarray, sigma: float, mode: str = "symmetric", truncate: flo
     return a
 
 
+def derived(a: np.ndarray, sigma: float, orders: tuple[int, int], truncate: float = 3.0) -> np.ndarray:
+    """Derivatives of the Gaussian mean, orders down the rows and along the columns (0, 1 or 2); borders repeat."""
+    r = int(truncate * sigma + 0.5)
+    k = np.arange(-r, r + 1)
+    g = np.exp(-0.5 * (k / sigma) ** 2)
+    g /= g.sum()
+    weights = (g, k / sigma**2 * g, (k * k / sigma**4 - 1 / sigma**2) * g)
+    for axis, order in enumerate(orders):
+        p = np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(2)], "edge")
+        cut = lambda j: p[:, r + j : r + j + a.shape[1]] if axis else p[r + j : r + j + a.shape[0]]  # noqa: B023, E731
+        a = sum(w * cut(j) for j, w in zip(k, weights[order], strict=True))
+    return a
+
+
+def least_curvature(a: np.ndarray, sigmas: tuple[float, ...] = (1.5, 3.0)) -> np.ndarray:
+    """How far the smaller curvature is below zero, times sigma squared, summed over scales. Reaches 3 * max(sigmas) cells."""
+    total = np.zeros(a.shape)
+    for s in sigmas:
+        yy, xx, xy = derived(a, s, (2, 0)), derived(a, s, (0, 2)), derived(a, s, (1, 1))
+        low = 0.5 * (yy + xx - np.sqrt((yy - xx) ** 2 + 4 * xy * xy))
+        total += s * s * np.maximum(-low, 0.0)
+    return total
+
+
+def whole_box(a: np.ndarray, r: int) -> np.ndarray:
+    """Whether all cells of the box of radius r are there; none is beyond the border."""
+    good = np.ones(a.shape, bool)
+    for dy in range(-r, r + 1):
+        good &= ~np.isnan(moved(a, dy, 0, "constant"))
+    row = np.where(good, 0.0, np.nan)
+    for dx in range(-r, r + 1):
+        good = good & ~np.isnan(moved(row, 0, dx, "constant"))
+    return good
+
+
+def box_mean(a: np.ndarray, size: int) -> np.ndarray:
+    """Mean of a size x size box; borders repeat."""
+    r = size // 2
+    rows = sum(moved(a, d, 0) for d in range(-r, r + 1))
+    return sum(moved(rows, 0, d) for d in range(-r, r + 1)) / (size * size)
+
+
 def slopes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Central differences down the rows and along the columns, one-sided at borders."""
     return tuple(np.gradient(a, axis=i) if a.shape[i] > 1 else np.full(a.shape, np.nan) for i in range(2))
