@@ -234,12 +234,13 @@ def text_rows(seed=3):
 def test_collocations(spark, monkeypatch, max_n):
     rows = text_rows()
     df = spark.createDataFrame([(i, t, x, "f", 1, 2) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string, phrase string, f int, size int").repartition(4)
-    want = collocated(rows, max_n)
+    want = collocated(rows, max_n, least=5)
     assert len(want) > 30
-    assert sorted(map(tuple, phrases.collocations(df, max_n=max_n).collect())) == want
+    assert sorted(map(tuple, phrases.collocations(df, max_n=max_n, least=5).collect())) == want
     monkeypatch.setattr(phrases, "SLOTS", 7)  # nearly every slot is shared
-    monkeypatch.setattr(phrases, "RUN", 3)
-    assert sorted(map(tuple, phrases.collocations(df, max_n=max_n, top=3).collect())) == [r for r in want if r[1] <= 3]
+    for name, value in (("RUN", 3), ("BYTES", 300), ("CODED", 9), ("HELD", 1), ("PARTS", 4)):
+        monkeypatch.setattr(phrases, name, value)
+    assert sorted(map(tuple, phrases.collocations(df, max_n=max_n, least=5, top=3).collect())) == [r for r in want if r[1] <= 3]
 
 
 def test_collocations_empty(spark):
