@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators import calibrate, emit, metric, tiles
+from gridloom.operators import calibrate, emit, estimators, folds, metric, tiles
 from gridloom.operators.distance import written
 from gridloom.operators.stencil import dense, ridges
 from gridloom.plans.calibration_queries import _basis, _rows
 from gridloom.plans.metric_queries import HEAD
+from gridloom.plans.model_queries import BRIEF
 from gridloom.plans.registry import query
 from gridloom.plans.spatial_queries import _folder
 from gridloom.plans.stencil_queries import grad_sql
@@ -140,3 +141,38 @@ def k27_unconditional_effect(spark, sf):
     _, train = _rows(spark, sf)
     c = calibrate.Calibrator.fit(train, "prob", _basis(train), edge=1e-4, bound=14.0)
     return train.agg(F.count("*").alias("rows"), F.round(F.lit(c.offset), 6).alias("mean_effect"), F.round(F.min(c.effect), 6).alias("least"), F.round(F.max(c.effect), 6).alias("most"))
+
+
+def _fold_rows(spark, sf):
+    """(rows, channels): the grid with its folds, two nuisances and a derived step; fold 0 is predicted."""
+    half = spec(spark, sf).width / 2.0
+    df = folds.quadrants(footprint(spark, sf, items=True))
+    df = df.withColumns({
+        "c1": F.abs(F.col("y") - half), "c2": F.abs(F.col("x") - half), "covered": F.col("ck") % 3 != 0, "label": (F.col("p") == "1-URGENT").cast("double"),
+        "relief": F.col("disc") * 1000 - 50, "step": F.col("v") / (1 + F.coalesce("qty", F.lit(0.0))),
+    })
+    names = estimators.Channels(features=["v", "qty", "disc", "step"], selective=["qty", "disc"], nuisance=["c1", "c2"], upflow=["qty"], steps=["step", "v"], steep="disc", slope="qty", relief="relief", covered="covered")
+    return written(df.select("cell_id", "y", "x", "fold", "label", "c1", "c2", "covered", "v", "qty", "disc", "relief", "step")), names
+
+
+@query()
+def k38_fold_surface(spark, sf):
+    """Residuals, trees, calibration by relief, sharpening and gates; fitted outside fold 0, shown in it."""
+    rows, names = _fold_rows(spark, sf)
+    known = rows.where("fold <> 0")
+    learn = known.where("label = 1").unionByName(emit.sample(known.where("label = 0"), "cell_id", 400, 37))
+    got = estimators.fold_surface(learn, known.where("label = 0"), rows.where("fold = 0"), names, "label", (spec(spark, sf).width,) * 2, BRIEF)
+    return got.select("cell_id", F.round("sharp", 6).alias("sharp"), F.round("conduit", 6).alias("conduit"))
+
+
+@query()
+def k39_split_view(spark, sf):
+    """A core head and a kernel head on soft labels, each moved to the population's mean, blended by coverage."""
+    rows, names = _fold_rows(spark, sf)
+    known = rows.where("fold <> 0")
+    soft = written(estimators.soft_labels(known, known.where("label = 1"), "soft"))
+    learn = known.where("label = 1").unionByName(emit.sample(known.where("label = 0"), "cell_id", 400, 37))
+    corridor = emit.sample(soft.where("soft > 0"), "cell_id", 300, 41).unionByName(emit.sample(soft.where("soft = 0"), "cell_id", 300, 43))
+    means = soft.agg(F.avg("label").alias("a"), F.avg("soft").alias("b")).first()
+    got = estimators.split_view(learn, corridor, known.where("label = 0"), rows.where("fold = 0"), names, ["v", "qty", "step"], "label", "soft", (spec(spark, sf).width,) * 2, BRIEF, population=(means["a"], means["b"]))
+    return got.select("cell_id", *[F.round(c, 6).alias(c) for c in ("core", "kernel", "blend")])
