@@ -40,7 +40,7 @@ from gridloom.llm._shared import materialise, shared_dir
 #: Where pieces end, and what else lies between words.
 ENDS, GAPS = r"[\n.,;:!?\x0b\x0c\r]+", r"[ \t]+"
 #: Starts of grams that one row carries; bytes of text taken apart at once; words in a part of the vocabulary, and parts held; hash slots of frequent grams: at most so many rows of one number are broadcast; parts in which words are numbered.
-RUN, BYTES, CODED, HELD, SLOTS, PARTS = 64, 8 << 20, 1_000_000, 2, 1 << 21, 64
+RUN, BYTES, CODED, HELD, SLOTS, PARTS = 64, 2 << 20, 1_000_000, 2, 1 << 21, 64
 WIDE = "decimal(38,0)"
 
 
