@@ -37,7 +37,7 @@ def greedy(demand, some, stages, spacing, tau=None, existing=()):
             for (y, x), r in live.items():
                 if any((y - a) ** 2 + (x - b) ** 2 < spacing**2 for a, b in dots):
                     continue
-                adds = sum(demand[y + a, x + b][weight] * max(0.0, w - cover.get((y + a, x + b), 0.0)) for a, b, w in kern if (y + a, x + b) in demand)
+                adds = sum(min(max(demand[y + a, x + b][weight], 0.0), 1.0) * max(0.0, w - cover.get((y + a, x + b), 0.0)) for a, b, w in kern if (y + a, x + b) in demand)
                 if round(adds, 9) <= 1e-9:
                     continue
                 net = round(round(adds, 9) - fee_of * (1 - min(max(r["mu"], 0), 1)), 9)
