@@ -35,6 +35,11 @@ def materialise(df: DataFrame, name: str, *, compression: str | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_of(columns: list[str]) -> Column:
+    """A struct of the columns, whatever their names hold."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])
+
+
 def text_key(text: Column) -> Column:
     """A 64-bit hash of a text; null counts as the empty text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

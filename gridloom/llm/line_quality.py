@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gridloom.llm._shared import materialise, text_key
+from gridloom.llm._shared import materialise, row_of, text_key
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -149,7 +149,7 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     marked = judged.join(gone, "row", "left").where(~F.col("kept") | F.col("gone").isNotNull()).groupBy(*who).agg(F.first("kept").alias("kept"), F.first("gone").alias("gone"))
     marked = materialise(marked, "quality-marked").alias("m")
     # the row itself stays apart from helper columns, whatever its own are called
-    keyed = docs.select(F.struct(*docs.columns).alias("r"), F.col("doc_id").alias("d"), F.col(options.get("host", "source")).cast("string").alias("s"), text_key(F.col("text")).alias("t"))
+    keyed = docs.select(row_of(docs.columns).alias("r"), F.col("doc_id").alias("d"), F.col(options.get("host", "source")).cast("string").alias("s"), text_key(F.col("text")).alias("t"))
     same = F.col("d").eqNullSafe(F.col("m.doc_id")) & (F.col("t") == F.col("m.text_hash")) & F.col("s").eqNullSafe(F.col("m.host"))
     here = keyed.join(marked, same, "left").where(F.coalesce("m.kept", F.lit(True)))
     # only texts that lose a line go to Python

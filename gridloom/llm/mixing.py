@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm._shared import WORD, materialise
+from gridloom.llm._shared import materialise, row_of, WORD
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
@@ -223,7 +223,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("sid", "at", "from").orderBy(F.desc("until"), "shard", "slot"))
     runs = got.withColumn("turn", turn).groupBy("sid", "at", "turn").agg(F.array_sort(F.collect_list(F.struct(F.col("from"), F.col("until")))).alias("runs"))
     places = df.where(F.col("size") > 0).select("sid", "at", "doc_id", "size", "__h")
-    keyed = docs.select(F.struct(*docs.columns).alias("r"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("source").alias("s"))
+    keyed = docs.select(row_of(docs.columns).alias("r"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("source").alias("s"))
     # repeated rows are told apart by a number; it costs a sort of the texts, so only where there are any
     repeats = places.groupBy("doc_id", "__h").count().where("count > 1").limit(1).count() > 0
     places = places.withColumn("m", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("sid", "at")) if repeats else F.lit(1))

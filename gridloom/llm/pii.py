@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm._shared import joined, materialise, spans, tagged, text_key
+from gridloom.llm._shared import joined, materialise, row_of, spans, tagged, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -94,7 +94,7 @@ def _entities(base: Column) -> Column:
 
 def _scan(docs: DataFrame, carry: list[str]) -> DataFrame:
     """A row per row of docs: r (its columns `carry`), text_hash, base, and text where base is not empty."""
-    rows = docs.select(F.struct(*carry).alias("r"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(row_of(carry).alias("r"), F.coalesce("text", F.lit("")).alias("text"))
     rows = base_spans(rows, "text").withColumnRenamed("__base", "base")
     return materialise(rows.select("r", text_key(F.col("text")).alias("text_hash"), "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-scan")
 

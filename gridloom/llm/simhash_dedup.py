@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import materialise, text_key
+from gridloom.llm._shared import materialise, row_of, text_key
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Leading field of each rotation: first bit (from the top) and width.
@@ -277,7 +277,7 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), order).alias("f")).select("f.*")
     first = materialise(first, "first-of-each")
-    keyed = docs.select(F.struct(*docs.columns).alias("r"), F.col("doc_id").alias("d"), text_key(F.col("text")).alias("t"))
+    keyed = docs.select(row_of(docs.columns).alias("r"), F.col("doc_id").alias("d"), text_key(F.col("text")).alias("t"))
 
     def met(some: DataFrame) -> DataFrame:
         return keyed.join(some, keyed["d"].eqNullSafe(some["doc_id"]) & (keyed["t"] == some["text_hash"]), "left_semi")

@@ -257,3 +257,15 @@ def test_twins(spark, name):
     got = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.ORACLES[name])
     assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns with dots, backticks and spaces in their names pass every stage that returns whole rows."""
+    import corpus_pipeline
+
+    rows = [(i, f"line {i} of some plain words that say nothing much at all here mail a{i}@b.cd\nand more words {'xyzuvw'[i % 6] * 4} follow", "en", "s", 9, i, "q", 1.5) for i in range(12)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `c``d` string, `e f` double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert {(r["doc_id"], r["a.b"], r["c`d"], r["e f"]) for r in got.collect()} <= {(i, i, "q", 1.5) for i in range(12)}, name
