@@ -21,7 +21,7 @@ it (nulls have none); empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ LEAVES = 64
 #: Rows that a task gathers before it runs, rows from which a group is split, and bits of one split.
 GATHER, HOT, SPLIT = 100_000, 100_000, 6
 
+Link = Callable[[np.ndarray | None, np.ndarray, np.ndarray], np.ndarray]
+
 
 def fingerprint(text: str) -> int:
     """64 majority bits over the XXH64 values of the text's word shingles, repeats included."""
@@ -51,10 +53,14 @@ def fingerprint(text: str) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(SHINGLE, n)
     hash64 = xxhash.xxh64_intdigest
-    hashes = [hash64(joined[i:j], SEED) for i, j in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
+    return majority(np.array([hash64(joined[i:j], SEED) for i, j in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set where it is in over half the hashes (uint64)."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        h = np.array(hashes[i : i + (1 << 16)], dtype="<u8")
+        h = np.ascontiguousarray(hashes[i : i + (1 << 16)], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = 2 * ones > len(hashes)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
@@ -84,13 +90,14 @@ def roots(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None)
             label = up
 
 
-def trie_links(x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], budget: int = BUDGET, width: int = 64) -> np.ndarray:
+def trie_links(x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], budget: int = BUDGET, width: int = 64, link: Link | None = None) -> np.ndarray:
     """Component roots of sorted values `x` (uint64) whose tries, ranges [a, b) and [c, d), are joined.
 
-    Values differ only below bit `width`. Pairs with equal ranges are self-joins.
+    Values differ only below bit `width`. Pairs with equal ranges are self-joins. `link`, if given,
+    takes the roots so far (none: None) and the pairs within the budget, and returns the roots after them.
     """
     n = len(x)
-    label = np.arange(n)
+    label = link(None, np.zeros(0, np.int64), np.zeros(0, np.int64)) if link else np.arange(n)
     sums: dict[int, np.ndarray] = {}
 
     def ones(bit: int) -> np.ndarray:
@@ -111,7 +118,7 @@ def trie_links(x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, n
             k = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
             i, j = sa[at] + k // nc[at], sc[at] + k % nc[at]
             near = (np.bitwise_count(x[i] ^ x[j]) <= budget) & (i != j)
-            label = roots(n, i[near], j[near], label)
+            label = link(label, i[near], j[near]) if link else roots(n, i[near], j[near], label)
         keep = ~small
         if not keep.any():
             continue

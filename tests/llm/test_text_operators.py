@@ -697,6 +697,66 @@ def test_near_copies_in_one_bucket(spark):
     assert len(groups) == 21
 
 
+def nodes_of(spark, texts, bands, fps=None):
+    """docs and the nodes near_copies makes of them, with the given bands and fingerprints."""
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", near_copies.text_key(F.col("text")).alias("h")).collect()}
+    made = [(near_copies.node_key(near_copies.words_of(t)), fps[d] if fps else 0, bands[d], (False, d, hashed[d])) for d, t in texts]
+    return docs, spark.createDataFrame(made, "node long, fp long, bands array<long>, one struct<no_id:boolean,doc_id:long,text_hash:long>")
+
+
+def joined(texts, links):
+    """{doc_id: least doc_id of its component} under links of nodes."""
+    root = {r["node"]: r["root"] for r in simhash_dedup.components(links).collect()}
+    of = {d: root.get(k, k) for d, t in texts for k in [near_copies.node_key(near_copies.words_of(t))]}
+    return {d: min(e for e in of if of[e] == of[d]) for d in of}
+
+
+def test_near_copies_meet_by_fingerprint(spark):
+    """Similar texts without a common band meet where their fingerprints link at four bits; unlike ones part again."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(6):
+        base = [f"f{i}w{k}" for k in rng.permutation(150)]
+        texts += [(10 * i, " ".join(base)), (10 * i + 1, " ".join([*base[:-1], "changed"]))]
+    fps = {d: (d // 20) << 20 | (0b111 if d % 10 else 0) for d, _ in texts}  # two pairs are three bits apart, all four in a group
+    docs, nodes = nodes_of(spark, texts, {d: [d] for d, _ in texts}, fps)
+    assert near_copies.links(nodes, docs).collect() == []
+    found = near_copies.links(nodes, docs, near_copies.fingerprint_groups(nodes))
+    assert joined(texts, found) == jaccard_components(texts) == {d: d - d % 10 for d, _ in texts}
+
+
+def edited(name, copies, words, seed):
+    """A text, and copies of it with so many words changed, each in places of its own."""
+    base = [f"{name}w{k}" for k in np.random.default_rng(seed).permutation(200)]
+    out = [" ".join(base)]
+    for k in range(copies):
+        new = list(base)
+        for at in range(words):
+            new[5 + 45 * at + 2 * k] = f"changed{k}"
+        out.append(" ".join(new))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 7])
+def test_near_copies_of_one_text(spark, hot):
+    """Copies that are like one text but unlike each other find it, also where their group is dealt into parts."""
+    texts = [(100 * i + k, t) for i in range(3) for k, t in enumerate(edited(f"f{i}", 19, 4, i))]
+    docs, nodes = nodes_of(spark, texts, {d: [7, 8, 9 + d % 2] for d, _ in texts})
+    assert joined(texts, near_copies.links(nodes, docs, hot=hot)) == jaccard_components(texts) == {d: d - d % 100 for d, _ in texts}
+
+
+def test_near_copies_write_no_pairs(spark, monkeypatch):
+    """A group of texts that are nearly but not quite similar makes rows by its members, not by their pairs."""
+    texts = list(enumerate(edited("f", 20, 4, 1)[1:])) + [(100 + k, t) for k, t in enumerate(edited("g", 20, 4, 2)[1:])]
+    docs, nodes = nodes_of(spark, texts, {d: [7] for d, _ in texts})
+    made, write = [], near_copies.materialise
+    monkeypatch.setattr(near_copies, "materialise", lambda df, name: made.append(write(df, name)) or made[-1])
+    assert near_copies.links(nodes, docs).count() == 0
+    assert jaccard_components(texts) == {d: d for d, _ in texts}
+    assert sum(df.count() for df in made) <= 2 * len(texts)
+
+
 def test_parity_never_rules_out_similar_sets():
     rng = np.random.default_rng(9)
     for n in (1, 7, 60, 900):
