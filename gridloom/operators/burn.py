@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.operators.distance import transform
+from gridloom.operators.distance import transform, written
 
 ENDS = ("ay", "ax", "by", "bx")
 
@@ -55,14 +55,19 @@ def inside(edges: DataFrame, n: tuple[int, int], *, padding: int = 0) -> DataFra
 
 
 def distance(cells: DataFrame, seeds: DataFrame, n: tuple[int, int], padding: int) -> DataFrame:
-    """cells with d2, the squared distance to the nearest seed of a grid with `padding` more cells on every side.
+    """cells, which lie in the grid, with d2, the squared distance to the nearest seed of a grid with `padding` more cells on every side.
 
     No seed at all, or a cell that a seed beyond the padding could be nearer to, is an error: the window of
     vectors was too small to certify the distance.
     """
-    wide = n[1] + 2 * padding
-    full = seeds.sparkSession.range((n[0] + 2 * padding) * wide).select((F.floor(F.col("id") / wide) - padding).alias("y"), (F.col("id") % wide - padding).alias("x"))
-    got = cells.join(transform(full, seeds), ["y", "x"], "left")
+    # a cell's distance needs its own row in full, over the columns of cells and seeds; the rest of the padding has only to hold the seeds
+    inner = lambda c, size: F.col(c).between(-padding, size + padding - 1)
+    seeds = written(seeds.where(inner("y", n[0]) & inner("x", n[1])).select("y", "x"))
+    ends = seeds.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
+    low, high = (min(0, ends["low"]), max(n[1] - 1, ends["high"])) if ends["low"] is not None else (0, n[1] - 1)
+    wide = high - low + 1
+    rows = seeds.sparkSession.range(n[0] * wide).select(F.floor(F.col("id") / wide).alias("y"), (F.col("id") % wide + low).alias("x"))
+    got = written(cells.join(transform(rows, seeds), ["y", "x"], "left"))
     far = got.agg(F.max("d2").alias("far"), F.count_if(F.col("d2").isNull()).alias("none")).first()
     if far["none"]:
         raise ValueError("no seed in the padded window")

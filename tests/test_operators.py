@@ -104,6 +104,20 @@ def test_distance_transform(spark):
     assert set(none.values()) == {None}
 
 
+def test_distance_transform_is_linear(spark):
+    """Seeds far off and outside the rows count, no frame runs to a column's end, and a row's work does not follow its largest distance."""
+    g = grid(spark, 3, 400, lambda y, x: 0.0)
+    seeds = [(-7, 0), (1, 399), (40, 120)]
+    out = distance.transform(g, spark.createDataFrame(seeds, "y long, x long"))
+    assert values(out, "d2") == {(y, x): min((y - a) ** 2 + (x - b) ** 2 for a, b in seeds) for y in range(3) for x in range(400)}
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString()
+    at, high = list(range(0, 3000, 3)), [(i * i * 7) % 1000 for i in range(1000)]
+    lowest, starts = distance._envelope(at, high)
+    for x in range(0, 3000, 37):
+        i = lowest[max(k for k in range(len(starts)) if starts[k] <= x)]
+        assert high[i] + (x - at[i]) ** 2 == min(h + (x - u) ** 2 for u, h in zip(at, high, strict=True))
+
+
 def test_drainage_of_a_plane(spark):
     g = grid(spark, 6, 7, lambda y, x: 100.0 - 10 * x - y * 0.001)
     acc = {r["cell_id"]: r["acc"] for r in distance.accumulation(distance.d8(g, "v", 7)).collect()}

@@ -63,6 +63,17 @@ def test_burn_distance_certifies(spark):
         burn.distance(grid, seeds.where("false"), n, 4)
 
 
+def test_burn_distance_makes_no_padded_grid(spark, monkeypatch):
+    """Only the grid's rows, over the columns of cells and seeds, go through the transform."""
+    n, seen = (8, 9), []
+    grid = spark.createDataFrame([(y, x) for y in range(n[0]) for x in range(n[1])], "y long, x long")
+    through = burn.transform
+    monkeypatch.setattr(burn, "transform", lambda df, seeds: (seen.append(df.count()), through(df, seeds))[1])
+    got = burn.distance(grid, spark.createDataFrame([(-3, 4), (9, 11), (-200, 3)], "y long, x long"), n, 12).collect()
+    assert all(r["d2"] == min((r["y"] + 3) ** 2 + (r["x"] - 4) ** 2, (r["y"] - 9) ** 2 + (r["x"] - 11) ** 2) for r in got) and len(got) == 72
+    assert seen == [8 * 12]
+
+
 # ---- fit of a map
 
 
