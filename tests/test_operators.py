@@ -86,6 +86,27 @@ def test_cover_equals_greedy(spark, spacing):
     assert got == taken
 
 
+def test_greedy_looks_at_the_best_first(spark, monkeypatch):
+    """Few candidates in a round, more where those do not do: the same dots, and only the best go through the first round."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(y, x, rng.randrange(1, 99) / 99, y * 14 + x) for y in range(14) for x in range(14)], "y long, x long, v double, id long")
+    both = lambda: [[tuple(r) for r in d.collect()] for d in (emit.cover(df, "v", "id", k=4, spacing=2.5), emit.poisson(df, "v", "id", spacing=3.0, k=4))]
+    want = both()  # all candidates at once
+    seen, outranking = [], emit._outranking
+    monkeypatch.setattr(emit, "_outranking", lambda d, *a: (seen.append(d.count()), outranking(d, *a))[1])
+    monkeypatch.setattr(emit, "LEAST", 5)
+    monkeypatch.setattr(emit, "AHEAD", 1)
+    assert both() == want and seen[0] < 20 and len(seen) > 2
+
+
+def test_scattered_sides_are_not_broadcast(spark):
+    """A small file scattered to a hundred times its rows stays out of the driver."""
+    df = spark.createDataFrame([(y, x, 1.0, y * 9 + x) for y in range(9) for x in range(9)], "y long, x long, s double, id long")
+    for d in (emit._outranking(df, F.struct("s", "id"), emit._within(6)), emit._without(df, df.limit(3), emit._within(6))):
+        d.collect()
+        assert "SortMergeJoin" in (plan := d._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
+
+
 def test_components_of_a_long_snake(spark):
     w = 40
     snake = [(y, x) for y in range(0, 40, 2) for x in range(w)] + [(y, (w - 1) if y % 4 == 1 else 0) for y in range(1, 39, 2)]
