@@ -99,6 +99,39 @@ def test_greedy_looks_at_the_best_first(spark, monkeypatch):
     assert both() == want and seen[0] < 20 and len(seen) > 2
 
 
+def test_large_sample_is_not_sorted_whole(spark, monkeypatch):
+    df = spark.range(3000).withColumnRenamed("id", "k").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) k"))
+    kept = lambda n: sorted((r["k"] is not None, r["k"]) for r in emit.sample(df, "k", n, 7).collect())
+    sizes = (0, 1, 40, 2999, 3001, 9000)
+    want = [kept(n) for n in sizes]
+    monkeypatch.setattr(emit, "SORTED", -1)
+    assert [kept(n) for n in sizes] == want
+    assert emit.sample(df, "k", 2000, 7)._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+
+
+def test_thinning_by_tiles_equals_one_scan(spark, monkeypatch):
+    """Small tiles that see little beyond them, walks of few cells together: the dots of one scan of the whole mask."""
+    rng, h, w = random.Random(5), 30, 26
+    inside = {(y, x) for y in range(h) for x in range(w) if rng.random() < 0.35}
+    ring, kept, queued = [(a, b) for a, b, _ in emit._within(2.8)], set(), set()
+    for start in sorted(inside):
+        todo = [] if start in queued else [start]
+        queued.add(start)
+        for y, x in todo:
+            if not any((y + a, x + b) in kept for a, b in ring):
+                kept.add((y, x))
+            for q in ((y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                if q in inside and q not in queued:
+                    queued.add(q)
+                    todo.append(q)
+    most, tiled = [], emit.tiles.tiled
+    monkeypatch.setattr(emit, "BEYOND", 2)
+    monkeypatch.setattr(emit, "WALKED", 40)
+    monkeypatch.setattr(emit.tiles, "tiled", lambda *a: (most.append(1), tiled(*a, size=12))[1])
+    got = emit.geodesic_thin(spark.createDataFrame(sorted(inside), "y long, x long"), w, 2.8).collect()
+    assert sorted(map(tuple, got)) == sorted(kept) and len(most) > 1
+
+
 def test_scattered_sides_are_not_broadcast(spark):
     """A small file scattered to a hundred times its rows stays out of the driver."""
     df = spark.createDataFrame([(y, x, 1.0, y * 9 + x) for y in range(9) for x in range(9)], "y long, x long, s double, id long")
