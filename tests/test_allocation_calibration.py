@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import calibrate as cal
 from gridloom.operators import distance, emit
 from gridloom.operators.stencil import triangular
-from gridloom.plans.allocation_queries import _fields
+from gridloom.plans.allocation_queries import _fields, kernel_mean
 from gridloom.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +65,15 @@ def test_stages_equal_the_scan(fields, tau):
     assert sorted((r["id"], r["stage"]) for r in got) == sorted(greedy(demand, cells, stages, 2.9, tau))
 
 
+def test_kernel_mean_equals_a_scatter(spark):
+    rows = [(y, x, None if (y * x) % 7 == 3 else float(y + 2 * x)) for y in range(9) for x in range(8) if (y + x) % 5]
+    df = spark.createDataFrame(rows, "y long, x long, u double")
+    out = kernel_mean(df, "u", "mu", (9, 8))
+    got, at = {(r["y"], r["x"]): r["mu"] for r in out.collect()}, {(y, x): u or 0.0 for y, x, u in rows}
+    near = {c: [(w, at[q]) for a, b, w in triangular() if (q := (c[0] + a, c[1] + b)) in at] for c in at}
+    assert got == {c: pytest.approx(sum(w * u for w, u in n) / sum(w for w, _ in n)) for c, n in near.items()}
+
+
 def test_stage_on_existing_dots(spark, fields):
     df, some, demand, cells = fields
     there = sorted(cells)[::40][:6]
